@@ -1,0 +1,92 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from tidelog.llm.graph import components
+from tidelog.llm.simhash import fingerprint, keep_first, links, near_duplicates, pigeonring, segments
+
+
+def slow_print(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        low = low.replace(c, " ")
+    w = [x for x in low.split(" ") if x]
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(prints, d=4):
+    """prints: value -> smallest id."""
+    values, root = list(prints), {v: v for v in prints}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= d:
+                root[find(a)] = find(b)
+    least = {}
+    for v in values:
+        least[find(v)] = min(least.get(find(v), float("inf")), prints[v])
+    return {v: least[find(v)] for v in values}
+
+
+def test_fingerprint():
+    rnd = random.Random(5)
+    for n in [0, 1, 2, 3, 4, 5, 9, 300]:
+        text = rnd.choice([" ", "\n\t", "\x0b", "\x85 "]).join(rnd.choice(["A", "b", "É", "the", "x\xa0y"]) for _ in range(n))
+        assert fingerprint(text.encode()) == slow_print(text)
+    assert fingerprint(None) == fingerprint(b"") == 0
+
+
+@pytest.mark.parametrize(("m", "block"), [(6, 8192), (7, 8192), (8, 50), (6, 40)])
+def test_links(spark, m, block):
+    rnd = random.Random(m)
+    values = {rnd.getrandbits(64) for _ in range(300)} | {0, 2**64 - 1}
+    for v in rnd.sample(sorted(values), 60):
+        values |= {v ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 6))) for _ in range(3)}
+    center = rnd.getrandbits(64)
+    values |= {center ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 4))) for _ in range(200)}
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    frame = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    got = {r.node % 2**64: r.root for r in components(links(frame, m=m, block=block)).collect()}
+    want = slow_components({v: signed(v) for v in values})
+    assert all(got.get(v, signed(v)) == want[v] for v in values)
+
+
+def test_pigeonring_keeps_all_links():
+    rnd = random.Random(9)
+    x = np.array([sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for _ in range(3000)], dtype=np.uint64)
+    assert all(pigeonring(x, np.array(segments(m), dtype=np.uint64), 4).all() for m in (6, 7, 8))
+
+
+def test_documents(spark, docs_of):
+    rnd = random.Random(2)
+    base = [" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(400)) for _ in range(8)]
+    docs = [(10 + i, t) for i, t in enumerate(base)] + [(100 + i, t.upper()) for i, t in enumerate(base)] + [(200 + i, t + " more") for i, t in enumerate(base)]
+    docs += [(5, None), (6, ""), (7, " \n"), (None, base[0]), (None, "alone here"), (10, base[0]), (300, "x"), (301, "X")]
+    got = near_duplicates(docs_of(docs)).collect()
+    prints = {}
+    for i, t in docs:
+        p = slow_print(t)
+        prints[p] = min(prints.get(p, 1 << 62), 1 << 62 if i is None else i)
+    want = slow_components(prints)
+    assert len(got) == len(docs)
+    for r in got:
+        c = want[int(r.fingerprint, 16)]
+        assert r.component_id == (None if c == 1 << 62 else c)
+    assert {r.fingerprint for r in got} == {f"{p:016x}" for p in prints}
+    kept = keep_first(docs_of(docs).selectExpr("*", "1 as fp", "'k' as _x")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for c in want.values() if c != 1 << 62})
+    assert sum(r.doc_id is None for r in kept) == 2
+
+
+def test_empty(spark, docs_of):
+    assert near_duplicates(docs_of([])).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, token_count
+from . import decontam, langid, license_scan, lz_fingerprint, simhash, substring, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,22 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_counts(_table(spark, sf_dir, "documents"))
+
+
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP2_SQL = f"""
@@ -43,5 +59,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_token_counts": op3_token_counts, "op7_license_scan": op7_license_scan}
-ORACLES = {"op2_decontaminate": OP2_SQL}
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i:i + 12] AS s FROM d, unnest(range(1, len(w) - 11)) u(i)),
+f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT p.doc_id, p.i FROM p JOIN f USING (s) WHERE p.doc_id > f.first), unnest(range(i, i + 13)) u(j) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS kept FROM (SELECT d.doc_id, d.w, g.gone, unnest(range(1, len(w) + 1)) AS i FROM d LEFT JOIN g USING (doc_id))
+      WHERE gone IS NULL OR NOT list_contains(gone, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_token_counts": op3_token_counts,
+    "op4_lz_fingerprint": op4_lz_fingerprint,
+    "op7_license_scan": op7_license_scan,
+    "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
+}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op9_substring_dedup": OP9_SQL}
