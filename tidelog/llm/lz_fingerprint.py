@@ -13,9 +13,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SIZE = 128
 #: Rows of a range of doc_ids that one task walks through.
@@ -114,11 +117,7 @@ def _string(signature: np.ndarray) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _walk(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kinds = to_arrow_schema(StructType.fromDDL(SCHEMA))
+def _walk(batches: Iterator[pa.RecordBatch], kinds: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
     before: tuple[int, int | None, Parsed] | None = None
     for batch in batches:
         out: dict[str, list] = {k: [] for k in kinds.names}
@@ -154,8 +153,6 @@ def fingerprint(docs: DataFrame, size: int = SIZE, rows_per_range: int = ROWS_PE
 
     @F.pandas_udf("int")
     def part_of(k):
-        import pandas as pd
-
         return pd.Series(np.searchsorted(bounds, k.to_numpy(dtype=np.float64), side="right").astype(np.int32))
 
     # First key of each range that has rows: as many rows as ranges.
@@ -165,12 +162,11 @@ def fingerprint(docs: DataFrame, size: int = SIZE, rows_per_range: int = ROWS_PE
     @F.pandas_udf("array<int>")
     def parts_of(k):
         """Range of a key; and that of the range before it (the last for the first) where the key starts a range."""
-        import pandas as pd
-
         k = k.to_numpy(dtype=np.int64)
         at = np.searchsorted(starts, k, side="right") - 1
         return pd.Series([[int(i), int((i - 1) % len(starts))] if s else [int(i)] for i, s in zip(at, starts[at] == k, strict=True)])
 
+    kinds = to_arrow_schema(StructType.fromDDL(SCHEMA))
     spread = docs.select("doc_id", "text", key).select("doc_id", "text", "_key", F.posexplode(parts_of("_key")).alias("_ahead", "_part"))
     spread = spread.repartition(max(len(starts), 1), "_part").sortWithinPartitions("_part", "_ahead", "_key", "text")
-    return spread.select("_part", "_ahead", "doc_id", "text").mapInArrow(lambda batches: _walk(batches, size), SCHEMA)
+    return spread.select("_part", "_ahead", "doc_id", "text").mapInArrow(lambda batches: _walk(batches, kinds, size), SCHEMA)
