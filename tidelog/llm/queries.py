@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license_scan, lz_fingerprint, simhash, substring, token_count
+from . import decontam, html_extract, langid, license_scan, lz_fingerprint, simhash, substring, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_token_counts": op3_token_counts,
     "op4_lz_fingerprint": op4_lz_fingerprint,
+    "op5_html_extract": op5_html_extract,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
