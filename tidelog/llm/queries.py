@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, langid, license_scan, lz_fingerprint, simhash, substring, token_count
+from . import chat_quotes, decontam, html_extract, langid, license_scan, lz_fingerprint, mixing, simhash, substring, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix_block", "mix_segment", "mix_slot", "mix_pos")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -45,6 +49,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_counts(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP2_SQL = f"""
@@ -80,8 +88,10 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_html_extract": op5_html_extract,
+    "op6_mix_sources": op6_mix_sources,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_chat_quotes": op10_chat_quotes,
 }
 ORACLES = {"op2_decontaminate": OP2_SQL, "op9_substring_dedup": OP9_SQL}

@@ -183,10 +183,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows that share that doc_id one is kept; rows with a null doc_id stay, as nothing tells them apart.
     """
-    leaders = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct()
-    kept = docs.join(leaders, docs["doc_id"] == leaders["_leader"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")) if _repeats_ids(docs) else kept.unionByName(docs.where("doc_id is null"))
-
-
-def _repeats_ids(docs: DataFrame) -> bool:
-    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    found = near_duplicates(docs.select("doc_id", "text"))
+    leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("_leader"))
+    # Rows per leading doc_id: more than one only where doc_ids repeat.
+    counted = written(leaders.groupBy("_leader").agg(F.count("*").alias("_copies")), "leaders")
+    kept = docs.join(counted, docs["doc_id"] == counted["_leader"]).select(*[docs[c] for c in docs.columns], "_copies")
+    if counted.where("_copies > 1").limit(1).count():
+        kept = kept.where("_copies = 1").unionByName(kept.where("_copies > 1").dropDuplicates(["doc_id"]))
+    return kept.drop("_copies").unionByName(docs.where("doc_id is null"))
