@@ -30,7 +30,7 @@ def test_indexed(spark):
     a = zs(spark, [("k1", 1, 2), ("k1", 2, 1), ("k2", 1, 1), (None, 9, 1)], "k string, v long")
     b = zs(spark, [("k1", "p", 3), ("k3", "q", 1), (None, "r", 1)], "k string, u string")
     assert got(a.indexed_times(b, ["k"])) == {("k1", 1, "p"): 6, ("k1", 2, "p"): 3}
-    assert got(a.index("k").indexed_plus(a)) == {("k1", 1): 4, ("k1", 2): 2, ("k2", 1): 2, (None, 9): 2}
+    assert got(a.index("k").indexed_plus(a)) == {("k1", 1): 4, ("k1", 2): 2, ("k2", 1): 2, (None, 9): 1}
     assert len(a.index("k").df.collect()) == 3
     assert {r.k: (r.s, r.n) for r in a.group(["k"], {"s": "v"}, ["n"]).collect()} == {"k1": (4, 3), "k2": (1, 1), None: (9, 1)}
 
