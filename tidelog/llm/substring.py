@@ -182,17 +182,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     firsts = anchors.where("sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("first"))
     copies = written(anchors.where("sequence is not null").select("doc_id", "text_key", "sequence").join(firsts, "sequence").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
     # 3. Groups with several documents.
+    # Their table ends the aggregate's partitioning, so that the join has two plain shuffles and a hot anchor's rows can be split.
     single = anchors.join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
-    groups = single.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
+    groups = written(single.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"), "groups")
     shared = written(single.join(groups, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("shared")), "shared")
     # 4. Their suffixes as leaves; 5. nodes and their first document; 6. leaves that have an earlier one.
     leaves = written(_leaves(keyed.join(shared, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared"), window, gram), "leaves")
-    for table in (anchors, shared):
+    for table in (anchors, groups, shared):
         remove(table)
-    nodes = leaves.groupBy("anchor", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "node", "first")
+    nodes = written(leaves.groupBy("anchor", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "node", "first"), "nodes")
     marked = leaves.join(nodes, ["anchor", "node"]).where("doc_id > first").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
     found = written(marked.select("doc_id", "text_key", F.lit(False).alias("whole"), "starts").unionByName(copies.select("doc_id", "text_key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))), "repeats")
-    for table in (leaves, copies):
+    for table in (leaves, nodes, copies):
         remove(table)
     return found
 
