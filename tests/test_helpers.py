@@ -49,6 +49,30 @@ def test_sources(spark, tmp_path):
     assert [(r.e, r.a, r.v) for r in named.collect()] == [(1, "a/b", "x")]
 
 
+def test_readers(spark, tmp_path):
+    from tidelog.sources import readers
+
+    (tmp_path / "x.csv").write_text("id,name,tx\n1,a,5\n2,,6\n")
+    got = readers.read_table(spark, str(tmp_path / "x.csv"), "csv", "id long, name string, tx long", "id", {"name": "x/name"}, "tx", header="true")
+    assert sorted(map(tuple, got.collect())) == [(5, 1, "x/name", "a", 1)]
+    log = D.datoms(spark, [(1, [(1, "a/b", "x"), (1, "c", "z")]), (2, [(1, "a/b", "x", False)]), (3, [(1, "a/b", "y")])])
+    readers.write_datoms(log, str(tmp_path / "log"))
+    part = readers.read_datoms(spark, str(tmp_path / "log"), ["a/b"], 1, 3)
+    assert sorted(map(tuple, part.collect())) == [(1, 1, "a/b", "x", 1), (2, 1, "a/b", "x", -1)]
+    assert "PartitionFilters: [" in part._jdf.queryExecution().executedPlan().toString()
+    assert readers.read_datoms(spark, str(tmp_path / "log")).count() == 4
+
+
+def test_pull_entities(spark):
+    import films
+
+    catalog = films.catalog(spark, films.film_datoms(), films.SCHEMA)
+    some = spark.createDataFrame([(1,), (3,), (999,)], "e long")
+    got = {r.e: r.pulled for r in pull.pull_entities(catalog, some, ["movie/title", {"movie/cast": ["person/name"]}, "movie/sequel"]).collect()}
+    assert got[1].title == ["The Terminator"] and [c.name for c in got[1].cast] == [["Arnold Schwarzenegger"], ["Linda Hamilton"]] and got[1].sequel == [2]
+    assert got[3].sequel is None and got[999].title is None and got[999].cast is None
+
+
 def test_utilities(spark):
     df = spark.range(0, 1000).selectExpr("id * 3 as id")
     assert sorted(r.id for r in utility.keep_every_nth(df, 10, "id").collect()) == list(range(0, 3000, 30))

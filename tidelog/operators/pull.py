@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.catalog import AttributeCatalog
+
 
 def _split(pattern: list) -> tuple[list[str], list[tuple[str, list]]]:
     return [p for p in pattern if isinstance(p, str)], [(k, v) for p in pattern if isinstance(p, dict) for k, v in p.items()]
@@ -61,3 +63,24 @@ def pull(df: DataFrame, pattern: list, transforms: dict[str, Callable[[DataFrame
             same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in own]
             out = out.alias("a").join(grouped.alias("b"), same).select("a.*", F.col(f"b.`{name}`"))
     return out
+
+
+def pull_entities(catalog: AttributeCatalog, entities: DataFrame, pattern: list, column: str = "e", depth: int = 0) -> DataFrame:
+    """``entities`` with a struct ``pulled``: attributes of each entity by ``pattern``, and through reference attributes those of their targets.
+
+    A pattern holds attribute names and one-entry dicts ``{reference attribute: pattern}``; fields are
+    named by what follows the slash. The rows stay as they are: what an entity lacks is null, and of a many-valued
+    attribute there is a sorted array.
+    """
+    out, fields, key, value = entities, [], f"_e{depth}", f"_v{depth}"
+    for i, part in enumerate(pattern):
+        name, inner = (part, None) if isinstance(part, str) else next(iter(part.items()))
+        attribute, field = catalog.get(name), f"_p{depth}_{i}"
+        values = catalog.star([name]).df.select(F.col("e").alias(key), F.col("v0").alias(value))
+        if inner is not None:
+            values = pull_entities(catalog, values, inner, value, depth + 1).select(key, F.col("pulled").alias(value))
+        if attribute.many or not attribute.table.unique:
+            values = values.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(value))
+        out = out.join(values.withColumnRenamed(value, field), out[column] == F.col(key), "left").drop(key)
+        fields.append(F.col(field).alias(name.rsplit("/", 1)[-1]))
+    return out.select(*entities.columns, F.struct(*fields).alias("pulled"))

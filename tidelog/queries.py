@@ -12,6 +12,7 @@ from .operators.hypergraph import Hypergraph
 from .operators.zframe import W, ZFrame
 from .plans.compiler import run_query
 from .sources import datoms as D
+from .sources import readers
 from .sources.catalog import ID_SPACE, AttributeCatalog, idents, supplied_catalog
 from .storage import delete_at_exit, shared_dir
 from .streaming import stream as S
@@ -384,6 +385,23 @@ def pull_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("r_name", F.size("nations").cast("long").alias("n"), F.array_join(F.transform("nations", lambda x: x.n_name), ",").alias("names"))
 
 
+@_query("pull_entities", "SELECT c_custkey AS k, c_mktsegment AS segment, n_name AS nation, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def pull_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = supplied_catalog(spark, sf_dir)
+    customers = catalog.star(["customer/key"]).df.select("e", F.col("v0").alias("k"))
+    pulled = pull.pull_entities(catalog, customers, ["customer/mktsegment", {"customer/nation": ["nation/name", {"nation/region": ["region/name"]}]}])
+    return pulled.select("k", F.col("pulled.mktsegment").alias("segment"), F.col("pulled.nation.name").alias("nation"), F.col("pulled.nation.region.name").alias("region"))
+
+
+@_query("datom_log_files", "SELECT c_custkey % 3 + 1 AS tx, count(*)::BIGINT AS n FROM customer WHERE c_custkey % 3 + 1 < 3 GROUP BY 1")
+def datom_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A datom log written by attribute and transaction; the read skips the folders it does not need."""
+    path = shared_dir(spark, "log")
+    delete_at_exit(spark, path)
+    readers.write_datoms(_changes(spark, sf_dir), path)
+    return readers.read_datoms(spark, path, ["customer/segment"], 1, 3).groupBy("tx").agg(F.count("*").alias("n"))
+
+
 def _baskets(spark: SparkSession, sf_dir: str) -> Hypergraph:
     """Orders as edges over suppliers."""
     return Hypergraph(_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as edge_id", "l_suppkey as vertex"))
