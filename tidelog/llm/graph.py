@@ -12,20 +12,21 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns a, b of one orderable type); root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges are stars. A step is aggregates and
-    joins on nodes, so no neighbour list is ever gathered; each round ends in a table of the shared folder.
+    joins on nodes, so no neighbour list is ever gathered. Aggregates go to tables of the shared folder, so that
+    the joins have plain shuffles on both sides and the rows of a node with very many neighbours can be split.
     """
     now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = written(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m")).distinct()
         then = written(small, "small")
-        remove(large)
-        remove(now)
+        for table in (least, large, down, now):
+            remove(table)
         now = then
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if state == seen:

@@ -48,7 +48,7 @@ class HyperEncoder:
     def __init__(self, dim: int = DIM, order: int = ORDER) -> None:
         self.dim, self.order = dim, order
         self.codes = np.empty(0, dtype=np.uint64)
-        self.vectors = np.empty((0, dim), dtype=np.float32)
+        self.vectors = np.empty((0, dim), dtype=np.int8)
 
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
         """Distinct n-gram codes, their counts, and the number of letters; runs of anything else are one space."""
@@ -69,7 +69,7 @@ class HyperEncoder:
         for k in range(self.order):
             points, at = np.unique((codes >> np.uint64(21 * (self.order - 1 - k))) & np.uint64(0x1FFFFF), return_inverse=True)
             out *= np.roll(letter_vectors(points, self.dim), self.order - 1 - k, axis=1)[at]
-        return out.astype(np.float32)
+        return out
 
     def lookup(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of sorted distinct codes."""
@@ -79,7 +79,7 @@ class HyperEncoder:
         if len(new):
             order = np.argsort(codes_all := np.concatenate([self.codes, new]), kind="stable")
             self.codes, self.vectors = codes_all[order], np.concatenate([self.vectors, self._bind(new)])[order]
-        return self.vectors[np.searchsorted(self.codes, codes)]
+        return self.vectors[np.searchsorted(self.codes, codes)].astype(np.float32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """One bundle for each text, and the numbers of letters."""
@@ -109,8 +109,12 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dim: int = DIM, order:
     Rows with a null lang, text or doc_id teach nothing. What reaches the driver is one vector for each language.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id").distinct()
+    # Only hashes below a language's cut are ranked: about twice the rows that are wanted, however many there are.
+    hashed = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2**40)).alias("h"))
+    cuts = hashed.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("of"), (F.lit(2.0**40) * (2 * per_lang + 100) / F.col("rows")).alias("cut"))
+    few = hashed.join(cuts, F.col("lang") == F.col("of")).where("h < cut").select("lang", "doc_id", "h")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id").distinct()
     sample = known.select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi")
 
     def make():

@@ -22,7 +22,7 @@ BLOCK_DOCS, PERIOD = 16, 4_096
 #: Target weights where none are given: the size of a source to this power.
 TEMPERATURE = 0.5
 #: Rows of one source that one task numbers.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 #: So many sources make a plan of at most some MB, which is broadcast; a larger one is joined as Spark chooses.
 MAX_BROADCAST_SOURCES = 200
 

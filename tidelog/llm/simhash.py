@@ -136,7 +136,8 @@ def links(prints: DataFrame, d: int = MAX_DISTANCE, block: int = BLOCK, m: int |
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     choices = [signed(sum(masks[i] for i in chosen)) for chosen in combinations(range(m), m - d)]
     keys = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in choices])).alias("c", "k"))
-    shared = keys.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join below has plain shuffles and a large bucket's rows can be split.
+    shared = written(keys.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     rows = keys.join(shared, ["c", "k"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     # A bucket of one block is the group (0, 0); of a larger one, block x meets every block, and itself.
     rows = rows.withColumn("x", F.when(F.col("blocks") > 1, F.expr("pmod(xxhash64(fp), blocks)")).otherwise(F.lit(0)))
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, d: int = MAX_DISTAN
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), d, block, m))
     # Only fingerprints that link to another one need a lookup; the root of the rest is the fingerprint itself.
-    linked = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("least"))
+    linked = written(roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("least")), "roots")
     linked = roots.join(linked, "root").select(F.col("node").alias("fp"), "least")
     ids = written(distinct.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id")), "components")
     remove(distinct)

@@ -179,7 +179,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     # 1. Anchors of all suffixes, one for each run of suffixes.
     anchors = written(_anchors(keyed, window, gram), "anchors")
     # 2. Whole texts that a smaller doc_id has.
-    firsts = anchors.where("sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("first"))
+    firsts = written(anchors.where("sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("first")), "firsts")
     copies = written(anchors.where("sequence is not null").select("doc_id", "text_key", "sequence").join(firsts, "sequence").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
     # 3. Groups with several documents.
     # Their table ends the aggregate's partitioning, so that the join has two plain shuffles and a hot anchor's rows can be split.
@@ -188,7 +188,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     shared = written(single.join(groups, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("shared")), "shared")
     # 4. Their suffixes as leaves; 5. nodes and their first document; 6. leaves that have an earlier one.
     leaves = written(_leaves(keyed.join(shared, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared"), window, gram), "leaves")
-    for table in (anchors, groups, shared):
+    for table in (anchors, firsts, groups, shared):
         remove(table)
     nodes = written(leaves.groupBy("anchor", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "node", "first"), "nodes")
     marked = leaves.join(nodes, ["anchor", "node"]).where("doc_id > first").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
