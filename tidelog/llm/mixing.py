@@ -91,8 +91,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_d
     spark = docs.sparkSession
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("mix_block", "mix_segment", "mix_slot", "mix_pos")])
     salt = F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []))
-    keys = docs.select(F.col("source").alias("_mix_source"), salt.alias("_mix_hash"))
-    sizes = sorted(keys.groupBy("_mix_source").count().collect(), key=lambda r: (r[0] is not None, r[0] or ""))  # one row for each source
+    sizes = sorted(docs.groupBy("source").count().collect(), key=lambda r: (r[0] is not None, r[0] or ""))  # one row for each source
     buckets = max(1, -(-sum(r[1] for r in sizes) // BUCKET_ROWS))
     given = [(weights or {}).get(r[0]) for r in sizes] if weights else [r[1] ** TEMPERATURE for r in sizes]
     known = [w for w in given if w]
@@ -100,13 +99,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_d
     rows = [(sizes[s][0], *rest) for s, *rest in plan([-(-r[1] // block_docs) for r in sizes], chosen, period)]
     segments = spark.createDataFrame(rows, "_mix_from string, mix_segment int, _mix_first long, _mix_end long, _mix_share long, _mix_period long, _mix_start long, _mix_slots array<long>")
 
-    bucket = F.pmod(F.col("_mix_hash"), F.lit(buckets))
-    counts = keys.select("_mix_source", bucket.alias("_mix_bucket")).groupBy("_mix_source", "_mix_bucket").count()
-    before = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_mix_source").alias("_mix_s"), F.col("_mix_bucket").alias("_mix_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_offset"))
-    inside = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_hash", "doc_id")
-    ranked = docs.withColumn("_mix_hash", salt).withColumn("_mix_bucket", bucket).withColumn("_mix_n", F.row_number().over(inside))
-    ranked = ranked.join(offsets, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_bucket") == F.col("_mix_b")))
+    # A source's key is never null, so that the offsets meet the rows where the window has put them.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_mix_key")
+    bucket = F.pmod(salt, F.lit(buckets)).alias("_mix_bucket")
+    counts = docs.select(key, bucket).groupBy("_mix_key", "_mix_bucket").count()
+    before = Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_mix_key", "_mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_offset"))
+    inside = Window.partitionBy("_mix_key", "_mix_bucket").orderBy("_mix_hash", "doc_id")
+    ranked = docs.select("*", key, salt.alias("_mix_hash"), bucket).withColumn("_mix_n", F.row_number().over(inside))
+    ranked = ranked.join(offsets, ["_mix_key", "_mix_bucket"])
     ranked = ranked.withColumn("_mix_rank", F.expr("_mix_offset + _mix_n - 1")).withColumn("mix_block", F.expr(f"_mix_rank div {block_docs}"))
     met = ranked.join(F.broadcast(segments) if len(sizes) <= MAX_BROADCAST_SOURCES else segments, F.col("source").eqNullSafe(F.col("_mix_from")) & F.expr("mix_block >= _mix_first and mix_block < _mix_end"))
     met = met.withColumn("mix_slot", F.expr("_mix_start + ((mix_block - _mix_first) div _mix_share) * _mix_period + element_at(_mix_slots, cast((mix_block - _mix_first) % _mix_share + 1 as int))"))
