@@ -21,6 +21,8 @@ DIM = 1024
 ORDER = 3
 #: Training texts for each language: those with the smallest hash of doc_id, so a fixed sample of bounded size.
 TRAIN_PER_LANG = 1_000
+#: Up to so many languages the ids of the training texts (8 MB at most) are broadcast.
+MAX_BROADCAST_LANGS = 1_000
 UNDETERMINED = "und"
 #: A text of so many letters that resembles no language beyond chance (cosine under NOISE standard deviations) is rejected.
 SURE_LETTERS, NOISE = 64, 3.0
@@ -112,10 +114,12 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dim: int = DIM, order:
     # Only hashes below a language's cut are ranked: about twice the rows that are wanted, however many there are.
     hashed = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2**40)).alias("h"))
     cuts = hashed.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("of"), (F.lit(2.0**40) * (2 * per_lang + 100) / F.col("rows")).alias("cut"))
-    few = hashed.join(cuts, F.col("lang") == F.col("of")).where("h < cut").select("lang", "doc_id", "h")
+    # The cuts have a row for each language and the choice at most per_lang of them, so both are small where languages are few.
+    small = F.broadcast if per_lang <= TRAIN_PER_LANG and known.select("lang").distinct().limit(MAX_BROADCAST_LANGS + 1).count() <= MAX_BROADCAST_LANGS else (lambda df: df)
+    few = hashed.join(small(cuts), F.col("lang") == F.col("of")).where("h < cut").select("lang", "doc_id", "h")
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id").distinct()
-    sample = known.select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi")
+    sample = known.select("doc_id", "lang", "text").join(small(chosen), "doc_id", "left_semi")
 
     def make():
         encoder = HyperEncoder(dim, order)
