@@ -168,5 +168,5 @@ def fingerprint(docs: DataFrame, size: int = SIZE, rows_per_range: int = ROWS_PE
 
     kinds = to_arrow_schema(StructType.fromDDL(SCHEMA))
     spread = docs.select("doc_id", "text", key).select("doc_id", "text", "_key", F.posexplode(parts_of("_key")).alias("_ahead", "_part"))
-    spread = spread.repartition(max(len(starts), 1), "_part").sortWithinPartitions("_part", "_ahead", "_key", "text")
+    spread = spread.repartitionById(len(starts), "_part").sortWithinPartitions("_part", "_ahead", "_key", "text")
     return spread.select("_part", "_ahead", "doc_id", "text").mapInArrow(lambda batches: _walk(batches, kinds, size), SCHEMA)
