@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from tidelog.llm.mixing import earliest_deadline_first, mix, plan, quotas
@@ -72,3 +73,39 @@ def test_weights(spark, docs_of):
     assert all(abs(sum(r.source == "a" for r in got[:n]) - 0.75 * n) < 1 for n in range(1, 250))
     assert mix(docs_of([])).count() == 0
     assert [r.mix_pos for r in mix(docs_of([(1, None)])).collect()] == [0]
+
+
+def deviations(rows, weights):
+    """Largest distance in blocks of each source from its exact share, within the segments."""
+    segments, worst = {}, [0] * len(weights)
+    for s, segment, first, end, share, period, _, slots in rows:
+        segments.setdefault(segment, {}).setdefault(s, []).extend((b - first) // share * period + slots[(b - first) % share] for b in range(first, end))
+    for found in segments.values():
+        total = sum(Fraction(weights[s]) for s in found) if len(found) == len(weights) else None
+        for s, slots in found.items() if total else ():
+            w = Fraction(weights[s]) / total
+            # Just before and just after a block is where a source is farthest from its share.
+            worst[s] = max(worst[s], *(max(abs(j - w * t), abs(j + 1 - w * (t + 1))) for j, t in enumerate(slots)))
+    return worst
+
+
+def test_exact_weights_over_many_periods():
+    sizes = [9_000, *[900] * 20]
+    weights = [n**0.5 for n in sizes]
+    rows = plan(sizes, weights, 64)
+    assert sum(sizes) > 400 * 64 and max(r[3] for r in rows if r[0] == 0 and r[1] == 0) > 64
+    assert max(deviations(rows, weights)) < 1
+    tiny = [0.0001, 0.6, 0.3999]
+    rows = plan([100, 30_000, 30_000], tiny)
+    assert max(deviations(rows, tiny)) < 1
+    assert sum(r[3] - r[2] for r in rows if r[:2] == (0, 0)) in (4, 5, 6)  # of 50,000 slots; a slot in each 4,096 would be 12
+    many = [1 + i % 7 for i in range(1_500)]
+    assert max(deviations(plan([40] * 1_500, many, 4_096), many)) < 1
+
+
+def test_plan_in_a_shuffle(spark, docs_of, monkeypatch):
+    rows = rows_of()
+    keys = lambda frame: sorted(str((r.doc_id, r.text, r.mix_pos)) for r in mix(frame, block_docs=1, period=16).collect() if r.doc_id not in (None, 7))
+    want = keys(docs_of(rows))
+    monkeypatch.setattr("tidelog.llm.mixing.MAX_BROADCAST_BLOCKS", 0)
+    assert keys(docs_of(rows)) == want

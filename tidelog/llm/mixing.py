@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in a fixed shuffled order, are its blocks' contents. With weight ``k / period``
-its block j is released at slot ``floor(j * period / k)`` and due by ``ceil((j + 1) * period / k)``;
-in each slot the released block with the earliest deadline goes. So at any slot each source is less
-than one block away from its exact share. Weights are whole numbers of slots in a period, which makes
-the schedule periodic: the driver plans one period and every block finds its slot by arithmetic.
+A source's documents, in a fixed shuffled order, are its blocks' contents. With weight ``w`` (an exact
+fraction of the weights' sum) its block j is released at slot ``floor(j / w)`` and due by
+``ceil((j + 1) / w)``; in each slot the released block with the earliest deadline goes. So at any slot
+each source is less than one block away from its exact share, however long the mix. The driver walks the
+slots, one for each ``block_docs`` documents, in whole numbers; documents find their slot by a join.
 
 When a source runs out, the others' weights are scaled up to fill its place and a new segment begins
 (the deviation holds within segments). Every document gets exactly one place.
@@ -13,8 +13,12 @@ When a source runs out, the others' weights are scaled up to fill its place and
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,8 @@ BLOCK_DOCS, PERIOD = 16, 4_096
 TEMPERATURE = 0.5
 #: Rows of one source that one task numbers.
 BUCKET_ROWS = 4_000
-#: So many sources make a plan of at most some MB, which is broadcast; a larger one is joined as Spark chooses.
-MAX_BROADCAST_SOURCES = 200
+#: A plan of so many blocks has 16 MB at most and is broadcast; a larger one is joined as Spark chooses.
+MAX_BROADCAST_BLOCKS = 2_000_000
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -39,42 +43,65 @@ def quotas(weights: list[float], period: int) -> list[int]:
     return out
 
 
-def earliest_deadline_first(shares: list[int], period: int, limits: list[int] | None = None) -> list[int]:
-    """Source of each slot of a period; it ends early after the slot in which a source reaches its limit."""
-    done, out = [0] * len(shares), []
+def exact_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of positive weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(e.denominator for e in exact))
+    return [int(e * scale) for e in exact]
+
+
+def _slots(shares: list[int], period: int) -> Iterator[int]:
+    """Source of each slot, without end, for sources with ``shares[s] / period`` of the slots."""
+    done = [0] * len(shares)
     waiting = [(0, s) for s in range(len(shares))]
-    heapq.heapify(waiting)
     ready: list[tuple[int, int]] = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             s = heapq.heappop(waiting)[1]
             heapq.heappush(ready, (-(-(done[s] + 1) * period // shares[s]), s))
         s = heapq.heappop(ready)[1]
+        yield s
+        slot += 1
+        done[s] += 1
+        heapq.heappush(waiting, (done[s] * period // shares[s], s))
+
+
+def earliest_deadline_first(shares: list[int], period: int, limits: list[int] | None = None) -> list[int]:
+    """Source of each slot of a period; it ends early after the slot in which a source reaches its limit."""
+    done, out = [0] * len(shares), []
+    for _, s in zip(range(period), _slots(shares, period), strict=False):
         out.append(s)
         done[s] += 1
         if limits and done[s] == limits[s]:
             break
-        if done[s] < shares[s]:
-            heapq.heappush(waiting, (done[s] * period // shares[s], s))
     return out
 
 
-def plan(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, int, list[int]]]:
-    """Rows (source, segment, first block, end block, blocks a period, period, first slot, slots in a period)."""
+def plan(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, int, array]]:
+    """Rows (source, segment, first block, end block, blocks, period, segment's first slot, each block's slot in the segment).
+
+    A row holds blocks of one segment that agree in ``block div period``.
+    """
     left, used, slot, segment, out = list(blocks), [0] * len(blocks), 0, 0, []
     while active := [s for s in range(len(left)) if left[s]]:
-        length = max(period, 4 * len(active))
-        shares = quotas([weights[s] for s in active], length)
-        rounds = min(left[s] // k for s, k in zip(active, shares, strict=True))
-        order = earliest_deadline_first(shares, length, None if rounds else [left[s] for s in active])
-        for i, s in enumerate(active):
-            slots = [t for t, x in enumerate(order) if x == i]
-            took = len(slots) * max(1, rounds)
-            if took:
-                out.append((s, segment, used[s], used[s] + took, len(slots), len(order), slot, slots))
-            used[s] += took
-            left[s] -= took
-        slot += len(order) * max(1, rounds)
+        shares = exact_shares([weights[s] for s in active])
+        rows: dict[tuple[int, int], array] = {}
+        begun = {s: used[s] for s in active}
+        for t, i in enumerate(_slots(shares, sum(shares))):
+            s = active[i]
+            key = s, used[s] // period
+            if key not in rows:
+                rows[key] = array("q")
+            rows[key].append(t)
+            used[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                break
+        for (s, group), slots in rows.items():
+            first = max(begun[s], group * period)
+            out.append((s, segment, first, first + len(slots), len(slots), period, slot, slots))
+        slot += t + 1
         segment += 1
     return out
 
@@ -96,8 +123,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_d
     given = [(weights or {}).get(r[0]) for r in sizes] if weights else [r[1] ** TEMPERATURE for r in sizes]
     known = [w for w in given if w]
     chosen = [w or (sum(known) / len(known) if known else 1.0) for w in given]
-    rows = [(sizes[s][0], *rest) for s, *rest in plan([-(-r[1] // block_docs) for r in sizes], chosen, period)]
-    segments = spark.createDataFrame(rows, "_mix_from string, mix_segment int, _mix_first long, _mix_end long, _mix_share long, _mix_period long, _mix_start long, _mix_slots array<long>")
+    blocks = [-(-r[1] // block_docs) for r in sizes]
+    names = ["" if r[0] is None else f"={r[0]}" for r in sizes]
+    rows = [(names[s], first // period, segment, first, end, start, slots) for s, segment, first, end, _, _, start, slots in plan(blocks, chosen, period)]
+    fields = [("_mix_key", pa.string()), ("_mix_group", pa.int64()), ("mix_segment", pa.int32()), ("_mix_first", pa.int64()), ("_mix_end", pa.int64()), ("_mix_start", pa.int64()), ("_mix_slots", pa.list_(pa.int64()))]
+    segments = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields]))
 
     # A source's key is never null, so that the offsets meet the rows where the window has put them.
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_mix_key")
@@ -109,7 +139,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_d
     ranked = docs.select("*", key, salt.alias("_mix_hash"), bucket).withColumn("_mix_n", F.row_number().over(inside))
     ranked = ranked.join(offsets, ["_mix_key", "_mix_bucket"])
     ranked = ranked.withColumn("_mix_rank", F.expr("_mix_offset + _mix_n - 1")).withColumn("mix_block", F.expr(f"_mix_rank div {block_docs}"))
-    met = ranked.join(F.broadcast(segments) if len(sizes) <= MAX_BROADCAST_SOURCES else segments, F.col("source").eqNullSafe(F.col("_mix_from")) & F.expr("mix_block >= _mix_first and mix_block < _mix_end"))
-    met = met.withColumn("mix_slot", F.expr("_mix_start + ((mix_block - _mix_first) div _mix_share) * _mix_period + element_at(_mix_slots, cast((mix_block - _mix_first) % _mix_share + 1 as int))"))
+    ranked = ranked.withColumn("_mix_group", F.expr(f"mix_block div {period}"))
+    met = ranked.join(F.broadcast(segments) if sum(blocks) <= MAX_BROADCAST_BLOCKS else segments, ["_mix_key", "_mix_group"]).where("mix_block >= _mix_first and mix_block < _mix_end")
+    met = met.withColumn("mix_slot", F.expr("_mix_start + element_at(_mix_slots, cast(mix_block - _mix_first + 1 as int))"))
     met = met.withColumn("mix_pos", F.expr(f"mix_slot * {block_docs} + _mix_rank % {block_docs}"))
     return met.select(*[f"`{c}`" for c in docs.columns], "mix_block", "mix_segment", "mix_slot", "mix_pos")
