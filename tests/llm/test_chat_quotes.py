@@ -61,3 +61,50 @@ def test_long_chain_and_hot_conversation(spark):
 
 def test_empty(spark):
     assert link_quotes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_parts_of_messages(spark):
+    filler = "Quite another text of ours, to be the first."
+    rows = [
+        # a paragraph with other line breaks, a sentence, a part of a sentence over two lines
+        (1, 0, "user", filler),
+        (1, 1, "user", "Alpha one is here\nalpha two is there\n\nBeta one came late\nbeta two came later"),
+        (1, 2, "user", "> Beta one came late beta two came later\nok"),
+        (1, 3, "user", "The first sentence is long. The second one is short! And a third one ends it."),
+        (1, 4, "user", "> The second one is short!\nno"),
+        (1, 5, "user", "> one is here alpha\n> two\nwell"),
+        # a sentence that is changed beside one that is not
+        (1, 6, "user", "> Changed beyond knowing. And a third one ends it.\nwell"),
+        (1, 7, "user", "> one is her\nnot whole words"),
+        (1, 8, "user", "> a third one starts it\nthe beginning only"),
+        # short lines
+        (2, 0, "user", filler + "\nNo"),
+        (2, 1, "user", "Well\nYes\nI will think about it\nAgreed fully\nBye"),
+        (2, 2, "user", "> Yes\n> Agreed fully\nfine"),
+        (2, 3, "user", "I will think about it"),
+        (2, 4, "user", "> Yes\n> invented by me now\nfine"),
+        (2, 5, "user", "> No\n> I will think about it\nlong lines go first"),
+        # said later only; said in another conversation only
+        (3, 0, "user", "> a text that is to come\nhow so"),
+        (3, 1, "user", "Here is a text that is to come, at last."),
+        (4, 0, "user", filler),
+        (4, 1, "user", "> beta two came\nwho?"),
+        # lines said before apart, the passage in one message
+        (5, 0, "user", "The line of the one kind"),
+        (5, 1, "user", "The line of the other kind"),
+        (5, 2, "user", "The line of the one kind\nThe line of the other kind\nand more"),
+        (5, 3, "user", "> The line of the one kind\n> The line of the other kind\nyes"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    parents = {k: r.parent_turn for k, r in got.items() if r.n_quotes}
+    assert parents == {(1, 2): 1, (1, 4): 3, (1, 5): 1, (1, 6): 3, (1, 7): None, (1, 8): None, (2, 2): 1, (2, 4): 1, (2, 5): 1, (3, 0): None, (4, 1): None, (5, 3): 2}
+    assert all((r.n_linked > 0) == (r.parent_turn is not None) for r in got.values())
+    assert (got[1, 2].n_quotes, got[1, 2].n_linked) == (1, 1) and (got[1, 6].n_quotes, got[1, 6].n_linked) == (3, 1)
+
+
+def test_parts_in_a_hot_conversation(spark):
+    rows = [(1, i, "user", f"Before it number {i} says so. The very same text, said again and again by all. After it") for i in range(300)]
+    rows += [(1, 300 + i, "user", f"> The very same text, said again and again by all. After it\nyes\n> number {i} says\nand no\n> The very same text, said again and again by all {i}") for i in range(300)]
+    got = [r for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect() if r.turn >= 300]
+    # two parts of one sentence from the first message, and one from message i
+    assert {(r.n_quotes, r.n_linked) for r in got} == {(5, 4)} and {r.parent_turn for r in got} == {0}
