@@ -1,4 +1,6 @@
 import re
+import re._constants as sre
+import re._parser as sre_parser
 
 from tidelog.llm.license_scan import BASE_PHRASES, LicenseScanner, parse_rules, resolve, scan_licenses
 
@@ -50,6 +52,38 @@ def test_gate_changes_nothing():
         assert sorted(d.label for d in scanner.scan(text.encode())[2]) == want, text
 
 
+def strings(parsed):
+    """Strings that a rule's regex matches: every alternative and letter; repeats the fewest times, once more, and the most times."""
+    out = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            new = [chr(arg)]
+        elif op is sre.IN:
+            new = [chr(c) if kind is sre.LITERAL else "x" if c is sre.CATEGORY_NOT_SPACE else "0" for kind, c in arg]
+        elif op is sre.SUBPATTERN:
+            new = strings(arg[3])
+        elif op is sre.BRANCH:
+            new = [x for part in arg[1] for x in strings(part)]
+        else:
+            assert op in (sre.MAX_REPEAT, sre.MIN_REPEAT), op
+            few, most, inner = arg
+            new = [x * n for n in {few, min(few + 1, most), min(most, few + 12)} for x in strings(inner)]
+        out = [a + b for a in out for b in dict.fromkeys(new)]
+    return list(dict.fromkeys(out))
+
+
+def test_every_string_of_a_rule_has_its_keyword():
+    for rule in parse_rules():
+        every = [x for x in strings(sre_parser.parse(rule.regex.pattern[len("(?<= )") : -len("(?= )")]))]
+        assert every and all(rule.regex.search(f" {x} ") for x in every), rule
+        assert [x for x in every if rule.keyword not in f" {x} "] == [], rule
+
+
+def test_alternatives_get_their_labels():
+    for text, label in {"Reprinted with kind permission.": "permission", "an Open RAIL license": "openrail", "See the LICENSE.txt": "see-license", "PostgreSQL Licence": "postgresql"}.items():
+        assert label in {d.label for d in LicenseScanner().scan(text.encode())[2]}, text
+
+
 def test_suppression():
     rules = parse_rules("low|4|k|a b c d\nhigh|8|k|b c\nsame|8|k|c d e\ninner|8|k|b")
     assert [rules[i].label for _, _, i in resolve([(0, 7, 0), (2, 5, 1), (4, 9, 2), (2, 3, 3)], rules)] == ["high", "same"]

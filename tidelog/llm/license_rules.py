@@ -240,7 +240,7 @@ unlicense|7|released into the public domain|this is free and unencumbered softwa
 wtfpl|8|do what the|do what the fuck you want to public license
 beerware|8|beer ware|(?:the )?beer ware license
 json|7|for good not evil|the software shall be used for good not evil
-postgresql|8|postgresql license|(?:the )?postgresql licen[sc]e
+postgresql|8|postgresql licen|(?:the )?postgresql licen[sc]e
 openssl|8|openssl license|(?:the )?openssl license
 curl|8|curl license|(?:the )?curl license
 icu|8|icu license|(?:the )?icu license
@@ -262,7 +262,7 @@ osl-3.0|8|open software license|open software license(?: (?:version |v ?)?3 0)?
 upl-1.0|8|universal permissive|universal permissive license(?: (?:version |v ?)?1 0)?
 bouncy-castle|8|bouncy castle|bouncy castle licen[sc]e
 jsr-spec|8|specification license|specification license agreement
-openrail|8|openrail|(?:creativeml )?open ?rail ?(?:m|s|d|\+\+ m)?(?: license)?
+openrail|8|rail|(?:creativeml )?open ?rail ?(?:m|s|d|\+\+ m)?(?: license)?
 llama-community|8|community license agreement|llama (?:2|3|3 1|3 2)? ?community license agreement
 public-domain|6|public domain|(?:is|are|was|placed|released|dedicated) (?:in|into|to) the public domain
 public-domain|2|public domain|public domain
@@ -293,8 +293,8 @@ license-notice|4|lizenziert unter|lizenziert unter(?: der)?
 license-notice|4|sous licence|(?:publié|distribué|disponible)?(?: )?sous licence
 license-notice|4|bajo licencia|(?:publicado |distribuido )?bajo licencia
 license-notice|4|bajo la licencia|(?:publicado |distribuido )?bajo la licencia
-see-license|2|see license|see (?:the )?license (?:file|txt|md)
+see-license|2| see |see (?:the )?license (?:file|txt|md)
 see-license|2|license file|see the license file
 eula|4|end user license|end user license agreement
-permission|2|with permission|(?:reprinted|reproduced|used) with (?:kind )?permission
+permission|2|permission|(?:reprinted|reproduced|used) with (?:kind )?permission
 """
