@@ -33,6 +33,12 @@ def test_blocks():
     assert [b.text for b in blocks("x<!-- open <p>y")] == ["x"]
 
 
+def test_skipped_elements_end_in_any_case():
+    for tag in ("script", "STYLE", "Title"):
+        page = f"<p>\u0130stanbul</p><{tag}>x</{tag.swapcase()}><p>after"
+        assert [b.text for b in blocks(page)] == ["\u0130stanbul", "after"], tag
+
+
 def test_page():
     page = f"""<!DOCTYPE html><html><head><title>T</title></head><body class="has-sidebar"><header><p>{P}</p></header><nav><a href=/>home</a></nav>
     <div id="cookie-banner">{P}</div><div class="wrap sidebar-right"><article><header><h1>Title here</h1></header><p>{P}<p>short<br>one &lt;b&gt;</p>

@@ -24,6 +24,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SKIPPED = {"script", "style", "title", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "xmp", "noembed", "audio", "video", "canvas"}
+_SKIPPED_END = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in _SKIPPED}
 _BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption button label input".split()
@@ -103,7 +104,6 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(text)
 
     at = 0
-    lower = None
     while m := _TOKEN.search(page, at):
         said(page[at : m.start()])
         at = m.end()
@@ -112,9 +112,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         closing = bool(m[1] or m[4])
         if not closing and tag in _SKIPPED and not (m[3] or m[6] or "").endswith("/"):
-            lower = page.lower() if lower is None and len(page.lower()) == len(page) else lower
-            end = (lower if lower is not None else page).find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
+            end = _SKIPPED_END[tag].search(page, at)
+            at = end.start() if end else len(page)
             continue
         if tag in _BLOCK:
             flush()
