@@ -1,17 +1,16 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup by joining hashed windows of words; no suffix tree is built.
 
-Suffixes begin at words. The contract asks for repeats of ``window`` words, so a suffix counts down to
-that depth and the deep internal nodes are those at depth ``window`` with leaves of several documents.
+The contract asks for repeats of ``window`` words. Prefix-partitioned suffix trees would sort suffixes and find
+their common prefixes; here only what lies at depth ``window`` is computed, as equal windows.
 
-* Every suffix has a variable-length prefix: up to the end of its anchor, the ``gram``-word run with
-  the smallest hash among the first ``window`` words. Equal windows have equal prefixes, so the
-  prefix's anchor names the group, and neighbouring suffixes mostly share it (one row for about five).
-* A group whose anchor lies in one document only holds no shared node; its suffixes stop there.
-* The other groups' suffixes become leaves (anchor hash and window hash, 128 bits: the node's path).
-  A node's smallest doc_id is an aggregate, so neither a group nor a node must fit in memory or one
-  task, however often a passage occurs.
-* Leaves below a node that a smaller doc_id has too mark their words; adjoining marks of a document
-  make its maximal repeats. Texts that equal a whole text with a smaller doc_id are marked at once.
+* A window's anchor is the ``gram``-word run with the smallest hash in it (a minimiser). Equal windows have
+  equal anchors, and neighbouring windows mostly share theirs (one row for about five).
+* An anchor that lies in one document only has no shared window; its windows stop there.
+* The other anchors' windows become rows (anchor hash and window hash, 64 bits each; the words are not compared).
+  A window's smallest doc_id is an aggregate, so neither an anchor nor a window must fit in memory or one
+  task, however often a passage occurs. In the code a row is a leaf and a window with several documents a node.
+* Windows that a smaller doc_id has too mark their words; ``repeats`` returns the windows' first words, and the
+  words they cover are the repeated spans. Texts that equal a whole text with a smaller doc_id are marked at once.
 
 Each step ends in a table of the shared folder, which bounds both lineage and shuffle files.
 """
@@ -146,7 +145,7 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _leaves(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Suffixes of texts (with their ``shared`` anchors) that lie in a group of several documents."""
+    """Windows of texts (with their ``shared`` anchors) that lie in a group of several documents."""
     schema = _arrow(_LEAVES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +175,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     are such, and starts is then null. text_key is the ``hash`` of the text, for rows with one doc_id.
     """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.hash("text").alias("text_key"), "text")
-    # 1. Anchors of all suffixes, one for each run of suffixes.
+    # 1. Anchors of all windows, one for each run of windows.
     anchors = written(_anchors(keyed, window, gram), "anchors")
     # 2. Whole texts that a smaller doc_id has.
     firsts = written(anchors.where("sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("first")), "firsts")
@@ -186,7 +185,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     single = anchors.join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
     groups = written(single.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"), "groups")
     shared = written(single.join(groups, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("shared")), "shared")
-    # 4. Their suffixes as leaves; 5. nodes and their first document; 6. leaves that have an earlier one.
+    # 4. Their windows as leaves; 5. nodes and their first document; 6. leaves that have an earlier one.
     leaves = written(_leaves(keyed.join(shared, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared"), window, gram), "leaves")
     for table in (anchors, firsts, groups, shared):
         remove(table)
