@@ -1,6 +1,11 @@
 import random
+import re
 import zlib
 
+import numpy as np
+import pytest
+
+from tidelog.llm import langid
 from tidelog.llm.langid import identify, predict
 
 SOUNDS = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["str", "ing", "tion", "he"], "cc": ["é", "ñu", "ça", "ro"]}
@@ -44,3 +49,50 @@ def test_edges(spark, docs_of):
     assert [r.lang_pred for r in identify(docs_of([(1, "text without labels")])).collect()] == ["und"]
     assert identify(docs_of([])).count() == 0
     assert "extra" in predict(docs_of([(1, "x")]).selectExpr("*", "1 as extra"), [], __import__("numpy").zeros((0, 1024), dtype="float32")).columns
+
+
+def plain_bundle(text, order=3):
+    """Sum of products of rotated letter vectors, n-gram by n-gram."""
+    spaced = "".join(c if c.isalpha() else " " for c in " " + text.lower() + " ")
+    spaced = re.sub(" +", " ", spaced)
+    out = np.zeros(langid.DIM, dtype=np.int64)
+    for i in range(len(spaced) - order + 1):
+        gram = np.ones(langid.DIM, dtype=np.int64)
+        for k, c in enumerate(spaced[i : i + order]):
+            gram *= np.roll(langid.letter_vectors(np.array([ord(c)]))[0].astype(np.int64), order - 1 - k)
+        out += gram
+    return out
+
+
+def test_bundles_equal_plain_ones():
+    texts = ["Straße, Öl & Brot", "a", "x y z", "Ünïcode 123 mixed-case TEXT " * 3]
+    bundles, letters = langid.HyperEncoder().encode([*texts, None, "12"])
+    for text, bundle, n in zip(texts, bundles, letters, strict=False):
+        assert (bundle.astype(np.int64) == plain_bundle(text)).all() and n == sum(c.isalpha() for c in text.lower())
+    assert not bundles[4:].any() and letters[4:].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("piece", [3, 5, 17, 64])
+def test_pieces_of_a_text_give_the_grams_of_the_whole(monkeypatch, piece):
+    rnd = random.Random(piece)
+    for _ in range(50):
+        text = "".join(rnd.choice("ab é.1") for _ in range(rnd.randint(1, 120)))
+        whole = langid.HyperEncoder().grams(text)
+        with monkeypatch.context() as m:
+            m.setattr(langid, "PIECE", piece)
+            parts = langid.HyperEncoder().grams(text)
+        assert whole[2] == parts[2] and (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_table_of_vectors_that_overflows(monkeypatch):
+    text = "".join(chr(0x4E00 + (i * 7919) % 3000) for i in range(3000))
+    want, _ = langid.HyperEncoder().encode([text])
+    monkeypatch.setattr(langid, "KEPT", 300)
+    monkeypatch.setattr(langid, "AT_ONCE", 200)
+    got, _ = langid.HyperEncoder().encode([text])
+    assert (want == got).all()
+
+
+def test_equal_likeness_goes_to_the_first_language(docs_of):
+    same = [(i, "same words in both", lang, None) for i, lang in ((0, "yy"), (1, "xx"))]
+    assert {r.lang_pred for r in identify(docs_of(same)).collect()} == {"xx"}

@@ -16,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
         return given
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _own.setdefault("dir", tempfile.mkdtemp(prefix="tidelog-"))
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="tidelog-")
+    return _own["dir"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

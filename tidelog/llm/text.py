@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +35,53 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER_AZ, LOWER_AZ))
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]]) -> DataFrame:
-    """``mapInArrow`` by batch. ``make()`` runs once in each task and returns a function from a batch to columns."""
+#: Bytes of text that Arrow functions work on at once; one longer text is a slice of its own.
+SLICE_BYTES = 1 << 18
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string or binary array with about ``most`` bytes, or one long text."""
+    lo, size = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+        if size and size + (n or 0) > most:
+            yield lo, i
+            lo, size = i, 0
+        size += (n or 0) + 16
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a Python worker that other tasks use after it: what the task took goes back to the system at its end.
+
+    Workers live on between tasks, and what their allocators keep counts against the executor's memory.
+    """
+
+    def call(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc: nothing to give back by hand
+                pass
+
+    return call
+
+
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], by: str = "text") -> DataFrame:
+    """``mapInArrow`` by slices of batches. ``make()`` runs once in each task and returns a function from a slice to columns.
+
+    A slice has about SLICE_BYTES of column ``by``, or one row, so a task holds few texts as Python objects.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                columns = step(batch)
+            for lo, hi in slices(batch.column(by)):
+                columns = step(batch.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[n], type=kinds[n]) for n in names], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,7 +89,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
 
     kinds = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
     names = list(kinds)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
