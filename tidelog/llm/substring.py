@@ -1,17 +1,22 @@
-"""Substring dedup by joining hashed windows of words; no suffix tree is built.
-
-The contract asks for repeats of ``window`` words. Prefix-partitioned suffix trees would sort suffixes and find
-their common prefixes; here only what lies at depth ``window`` is computed, as equal windows.
-
-* A window's anchor is the ``gram``-word run with the smallest hash in it (a minimiser). Equal windows have
-  equal anchors, and neighbouring windows mostly share theirs (one row for about five).
-* An anchor that lies in one document only has no shared window; its windows stop there.
-* The other anchors' windows become rows (anchor hash and window hash, 64 bits each; the words are not compared).
-  A window's smallest doc_id is an aggregate, so neither an anchor nor a window must fit in memory or one
-  task, however often a passage occurs. In the code a row is a leaf and a window with several documents a node.
-* Windows that a smaller doc_id has too mark their words; ``repeats`` returns the windows' first words, and the
-  words they cover are the repeated spans. Texts that equal a whole text with a smaller doc_id are marked at once.
-
+"""Substring dedup by prefix-partitioned suffix trees over words.
+
+A suffix is a text from one of its words on. All suffixes that begin with the same words are one group, and a
+group's suffix tree holds every repeat that begins so.
+
+* Pruning. A suffix can only be in a tree's deep part if its first ``window`` words occur in several documents.
+  Most don't, and would be leaves that hang above the depth that counts. They are dropped first: the ``gram``-word run
+  with the smallest hash in a window (its minimiser) is the same in equal windows, so a window whose minimiser
+  one document alone has is not repeated. What stays of a text is a few passages: runs of windows that may be.
+* Partitioning. The passages' suffixes are counted by their first word. Only prefixes with more than
+  ``group_suffixes`` suffixes are extended, to 2, 4 and 8 words, so a prefix is as long as its group needs to fit in memory.
+* Trees. A task takes one group after the other, sorts its suffixes word by word, takes the lengths
+  of common prefixes and walks the internal nodes. A node at ``window`` words or deeper with leaves of several
+  documents is a repeat; leaves whose document is not the first one below the node are marked. Words themselves are
+  compared; hashes only choose groups. (A word of over LONG bytes stands in passages as its 256-bit digest.)
+* A prefix of 8 words that is still too frequent belongs to a very common passage. Its deep nodes are found by an
+  aggregate on the words instead, which needs no group in one task.
+
+Texts that equal a whole text with a smaller doc_id (128-bit digest of all words) are marked at once and left out.
 Each step ends in a table of the shared folder, which bounds both lineage and shuffle files.
 """
 
@@ -26,13 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import remove, written
-
-WINDOW, GRAM = 13, 5
-_GROUP_BYTES = 1 << 20
+from .text import SLICE_BYTES, frugal, slices
+
+WINDOW, GRAM = 13, 8
+#: Suffixes of a group at most, unless 8 words don't tell them apart: about 2 MB of words.
+GROUP_SUFFIXES = 16_384
+#: Lengths of prefixes, in words.
+PREFIXES = (1, 2, 4, 8)
+#: Longer words stand in passages as a digest.
+LONG = 64
+#: Words of a suffix that ``maximal_repeats`` sees.
+DEPTH = 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Words of a passage are separated by a byte that is smaller than all of theirs; a zero byte inside a word becomes the space that words don't have.
+_SEPARATOR, _SEPARATED = b"\x00", np.arange(256) == 0
+_SWAP = bytes([32, *range(1, 32), 0, *range(33, 256)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -46,11 +62,11 @@ class Words:
 
     _up = _down = np.ones(1, dtype=np.uint64)
 
-    def __init__(self, texts: list[bytes | None]) -> None:
-        self.raw = b"\n".join([t or b"" for t in texts] + [b""])
+    def __init__(self, texts: list[bytes | None], space: np.ndarray = _SPACE, glue: bytes = b"\n") -> None:
+        self.raw = glue.join([t or b"" for t in texts] + [b""])
         buffer = np.frombuffer(self.raw, dtype=np.uint8)
-        space = np.r_[True, _SPACE[buffer]]
-        edge = np.flatnonzero(space[1:] != space[:-1])
+        between = np.r_[True, space[buffer]]
+        edge = np.flatnonzero(between[1:] != between[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         lengths = np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts))
         #: Words of text i are first[i] to first[i + 1].
@@ -63,45 +79,36 @@ class Words:
     @classmethod
     def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls._up) < n:
-            n = max(n, 2 * _GROUP_BYTES)
+            n = max(n, 2 * SLICE_BYTES)
             cls._up, cls._down = (np.cumprod(np.r_[_U(1), np.full(n - 1, b, dtype=np.uint64)], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
         return cls._up, cls._down
 
-    def windows(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each window inside one text: its first word, its text, its anchor hash and its own hash."""
-        n, h = len(self.hash), self.hash
-        if n < window:
-            none = np.empty(0, dtype=np.int64)
-            return none, none, none.astype(np.uint64), none.astype(np.uint64)
-        grams = np.zeros(n - gram + 1, dtype=np.uint64)
-        for k in range(gram):
-            grams = grams * _U(0xD6E8FEB86659FD93) + h[k : n - gram + 1 + k]
-        grams = _mixed(grams)
-        # The smallest of window - gram + 1 grams, by doubling.
-        least, span, want = grams, 1, window - gram + 1
-        while span < want:
+    def starts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and text of each window inside one text."""
+        n = len(self.hash) - window + 1
+        if n <= 0:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[:n]
+        at = np.flatnonzero(np.arange(n) + window <= self.first[text + 1])
+        return at, text[at]
+
+    def runs_of(self, k: int) -> np.ndarray:
+        """Hash of the ``k`` words from each word on that has as many after it."""
+        n = max(0, len(self.hash) - k + 1)
+        out = np.zeros(n, dtype=np.uint64)
+        for i in range(k):
+            out = out * _U(0xD6E8FEB86659FD93) + self.hash[i : n + i]
+        return _mixed(out)
+
+    def anchors(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window inside one text: its first word, its text and the smallest hash of ``gram`` words in it."""
+        at, text = self.starts(window)
+        least, span, want = self.runs_of(gram), 1, window - gram + 1
+        while span < want and len(at):  # by doubling
             step = min(span, want - span)
             least = np.minimum(least[:-step], least[step:])
             span += step
-        whole = np.zeros(n - window + 1, dtype=np.uint64)
-        for k in range(window):
-            whole = whole * _U(0xA0761D6478BD642F) + h[k : n - window + 1 + k]
-        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[: n - window + 1]
-        inside = np.arange(n - window + 1) + window <= self.first[text + 1]
-        at = np.flatnonzero(inside)
-        return at, text[at], least[at], _mixed(whole[at])
-
-
-def _grouped(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about _GROUP_BYTES of text, or one long text."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or b"") > _GROUP_BYTES:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t or b"")
-    if lo < len(texts):
-        yield lo, len(texts)
+        return at, text, least[at]
 
 
 def _runs(text: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -112,7 +119,10 @@ def _runs(text: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 _ANCHORS = "doc_id long, text_key int, sequence binary, anchors array<long>"
-_LEAVES = "doc_id long, text_key int, pos int, anchor long, node long"
+_PASSAGES = "doc_id long, text_key int, first int, words binary"
+_SUFFIXES = "doc_id long, text_key int, pos int, " + "".join(f"h{k} long, " for k in PREFIXES) + "before binary, words binary"
+_MARKS = "doc_id long, text_key int, pos int"
+_REPEATS = "words binary, n_words int, n_places long, first_doc long, open boolean"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -122,77 +132,245 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def _raw(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in slices(batch.column(column)):
+            yield batch.slice(lo, hi - lo)
 
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     schema = _arrow(_ANCHORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _raw(batch)
-            for lo, hi in _grouped(texts):
-                words = Words(texts[lo:hi])
-                at, text, anchor, _ = words.windows(window, gram)
-                starts = _runs(text, anchor, at)[:-1]
-                offsets = np.searchsorted(text[starts], np.arange(hi - lo + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchor[starts].view(np.int64)), type=schema.field("anchors").type)
-                sequence = [hashlib.blake2b(words.hash[a:b].tobytes(), digest_size=16).digest() if b - a >= window else None for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("text_key")[lo:hi], pa.array(sequence, pa.binary()), lists], schema=schema)
+        for part in _sliced(batches, "text"):
+            texts = _raw(part)
+            words = Words(texts)
+            at, text, anchor = words.anchors(window, gram)
+            starts = _runs(text, anchor, at)[:-1]
+            offsets = np.searchsorted(text[starts], np.arange(len(texts) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchor[starts].view(np.int64)), type=schema.field("anchors").type)
+            sequence = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if n >= window else None for t, n in zip(texts, np.diff(words.first).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sequence, pa.binary()), lists], schema=schema)
+
+    return docs.mapInArrow(frugal(run), _ANCHORS)
+
 
-    return docs.mapInArrow(run, _ANCHORS)
+def passage(words: list[bytes]) -> bytes:
+    """Words as suffixes have them: in the order of their bytes, words by word, a shorter suffix before a longer one."""
+    return b" ".join([w if len(w) <= LONG else hashlib.blake2b(w, digest_size=32).hexdigest().encode() + b"##" for w in words]).translate(_SWAP)
 
 
-def _leaves(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Windows of texts (with their ``shared`` anchors) that lie in a group of several documents."""
-    schema = _arrow(_LEAVES)
+def _passages(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Runs of windows that have one of their text's ``shared`` anchors, as words."""
+    schema = _arrow(_PASSAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _raw(batch)
-            for lo, hi in _grouped(texts):
-                at, text, anchor, node = (words := Words(texts[lo:hi])).windows(window, gram)
-                shared = batch.column("shared")[lo:hi]
-                owner = np.repeat(np.arange(hi - lo), np.diff(shared.offsets.to_numpy()))
-                salt = _mixed(np.arange(1, hi - lo + 1, dtype=np.uint64))
-                known = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ salt[owner]
-                starts = _runs(text, anchor, at)
-                wanted = np.isin(anchor[starts[:-1]] ^ salt[text[starts[:-1]]], known)
-                chosen = np.flatnonzero(np.repeat(wanted, np.diff(starts)))
-                of = text[chosen]
-                ids, keys = (batch.column(c)[lo:hi].to_numpy(zero_copy_only=False)[of] for c in ("doc_id", "text_key"))
-                pos = (at[chosen] - words.first[of]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(pos), pa.array(anchor[chosen].view(np.int64)), pa.array(node[chosen].view(np.int64))], schema=schema)
-
-    return docs.mapInArrow(run, _LEAVES)
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, text_key, whole, starts``: texts with windows that a smaller doc_id has too.
+        for part in _sliced(batches, "text"):
+            words = Words(_raw(part))
+            at, text, anchor = words.anchors(window, gram)
+            shared = part.column("shared")
+            owner = np.repeat(np.arange(len(shared)), np.diff(shared.offsets.to_numpy()))
+            salt = _mixed(np.arange(1, len(shared) + 1, dtype=np.uint64))
+            known = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ salt[owner]
+            wanted = np.flatnonzero(np.isin(anchor ^ salt[text], known))
+            runs = _runs(text[wanted], np.zeros(len(wanted)), at[wanted])
+            begin, last = at[wanted][runs[:-1]], at[wanted][runs[1:] - 1]
+            of = text[wanted][runs[:-1]]
+            found = [passage(words.raw[a:b].split()) for a, b in zip(words.start[begin].tolist(), words.end[last + window - 1].tolist(), strict=True)]
+            columns = [part.column("doc_id").take(pa.array(of)), part.column("text_key").take(pa.array(of)), pa.array((begin - words.first[of]).astype(np.int32)), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.mapInArrow(frugal(run), _PASSAGES)
+
+
+def _suffixes(passages: DataFrame, window: int, depth: int, texts: bool) -> DataFrame:
+    """Suffixes of at least ``window`` words, cut after ``depth``, with hashes of their prefixes; without ``texts`` the hashes alone."""
+    ddl = _SUFFIXES if texts else ", ".join(f"h{k} long" for k in PREFIXES)
+    schema = _arrow(ddl)
 
-    starts are the first words of those windows, sorted; whole is true where all of the text's windows
-    are such, and starts is then null. text_key is the ``hash`` of the text, for rows with one doc_id.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches, "words"):
+            words = Words(_raw(part, "words"), _SEPARATED, _SEPARATOR)
+            at, of = words.starts(window)
+            columns = [pa.array(words.runs_of(min(k, window))[at].view(np.int64)) for k in PREFIXES]
+            if texts:
+                start, end, raw = words.start.tolist(), words.end.tolist(), words.raw
+                last = np.minimum(at + depth, words.first[of + 1]) - 1
+                found = [raw[start[a] : end[b]] for a, b in zip(at.tolist(), last.tolist(), strict=True)]
+                before = [raw[start[a - 1] : end[a - 1]] if a > f else None for a, f in zip(at.tolist(), words.first[of].tolist(), strict=True)] if depth > window else [None] * len(at)
+                pos = part.column("first").to_numpy()[of] + (at - words.first[of])
+                columns = [part.column("doc_id").take(pa.array(of)), part.column("text_key").take(pa.array(of)), pa.array(pos.astype(np.int32)), *columns, pa.array(before, pa.binary()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return passages.mapInArrow(frugal(run), ddl)
+
+
+def _grouped(passages: DataFrame, window: int, depth: int, group_suffixes: int) -> tuple[DataFrame, bool, list[DataFrame]]:
+    """Suffixes with ``_group``, null where 8 words begin too many; whether there are such; and the tables it reads."""
+    hashes, tables = _suffixes(passages, window, depth, False), []
+    for k in PREFIXES:
+        many = hashes
+        for j, table in zip(PREFIXES, tables, strict=False):
+            many = many.join(table, f"h{j}", "left_semi")
+        # A prefix in this table has so many suffixes that the table is at most their number over group_suffixes long.
+        tables.append(written(many.groupBy(f"h{k}").agg(F.count("*").alias("n")).where(F.col("n") > group_suffixes).select(f"h{k}"), f"prefixes-{k}"))
+        if not tables[-1].limit(1).count():
+            break
+    rows, group = _suffixes(passages, window, depth, True), F.lit(None).cast("long")
+    for k, table in reversed([*zip(PREFIXES, tables, strict=False)]):
+        rows = rows.join(table.withColumnRenamed(f"h{k}", "_many").withColumn(f"_many_{k}", F.lit(True)), F.col(f"h{k}") == F.col("_many"), "left").drop("_many")
+        group = F.when(F.col(f"_many_{k}").isNull(), F.xxhash64(F.lit(k), f"h{k}")).otherwise(group)
+    hot = len(tables) == len(PREFIXES) and tables[-1].limit(1).count() > 0
+    return rows.select(group.alias("_group"), "doc_id", "text_key", "pos", "before", "words"), hot, tables
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many words two suffixes share at their start."""
+    if a == b:
+        return a.count(_SEPARATOR) + 1
+    n = 0
+    for x, y in zip(a.split(_SEPARATOR), b.split(_SEPARATOR), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def internal_nodes(suffixes: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    """(depth in words, depth of the parent, first leaf, end leaf) of each internal node below the root of the tree of sorted suffixes; children first."""
+    above: list[tuple[int, int]] = [(0, 0)]
+    for i in range(1, len(suffixes) + 1):
+        depth, begin = common_words(suffixes[i - 1], suffixes[i]) if i < len(suffixes) else 0, i - 1
+        while above[-1][0] > depth:
+            d, begin = above.pop()
+            yield d, max(depth, above[-1][0]), begin, i
+        if above[-1][0] < depth:
+            above.append((depth, begin))
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of one group after the other, sorted by their words; a group may be spread over batches."""
+    kept, group = [], None
+    for batch in batches:
+        for key, row in zip(batch.column("_group").to_pylist(), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+            if key != group:
+                if kept:
+                    yield sorted(kept, key=lambda r: r[0])
+                kept, group = [], key
+            kept.append(row)
+    if kept:
+        yield sorted(kept, key=lambda r: r[0])
+
+
+def _marks(grouped: DataFrame, window: int) -> DataFrame:
+    """Leaves below a node of at least ``window`` words that has a leaf of a smaller doc_id."""
+    schema = _arrow(_MARKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, int]] = []
+        for rows in _by_group(batches, ["words", "doc_id", "text_key", "pos"]):
+            for depth, parent, lo, hi in internal_nodes([r[0] for r in rows]):
+                if depth >= window > parent:  # all deeper nodes lie below such a one
+                    first = min(r[1] for r in rows[lo:hi])
+                    found += [r[1:] for r in rows[lo:hi] if r[1] > first]
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return grouped.select("_group", "doc_id", "text_key", "pos", "words").repartition("_group").sortWithinPartitions("_group").mapInArrow(frugal(run), _MARKS)
+
+
+def _pruned(docs: DataFrame, window: int, gram: int, whole: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Passages of ``docs`` (doc_id, text) that may be repeated; if ``whole``, of texts that no smaller doc_id has, with a table of the others."""
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.hash("text").alias("text_key"), "text")
-    # 1. Anchors of all windows, one for each run of windows.
+    # Anchors of all windows, one for each run of windows.
     anchors = written(_anchors(keyed, window, gram), "anchors")
-    # 2. Whole texts that a smaller doc_id has.
-    firsts = written(anchors.where("sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("first")), "firsts")
-    copies = written(anchors.where("sequence is not null").select("doc_id", "text_key", "sequence").join(firsts, "sequence").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
-    # 3. Groups with several documents.
-    # Their table ends the aggregate's partitioning, so that the join has two plain shuffles and a hot anchor's rows can be split.
-    single = anchors.join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
+    copies, single = None, anchors
+    if whole:
+        firsts = written(anchors.where("sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
+        copies = written(anchors.where("sequence is not null").select("doc_id", "text_key", "sequence").join(firsts, "sequence").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
+        remove(firsts)
+        single = anchors.join(copies, ["doc_id", "text_key"], "left_anti")
+    single = single.select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
+    # A table ends the aggregate's partitioning, so that the join has two plain shuffles and a hot anchor's rows can be split.
     groups = written(single.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"), "groups")
     shared = written(single.join(groups, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("shared")), "shared")
-    # 4. Their windows as leaves; 5. nodes and their first document; 6. leaves that have an earlier one.
-    leaves = written(_leaves(keyed.join(shared, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared"), window, gram), "leaves")
-    for table in (anchors, firsts, groups, shared):
+    for table in (anchors, groups):
         remove(table)
-    nodes = written(leaves.groupBy("anchor", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "node", "first"), "nodes")
-    marked = leaves.join(nodes, ["anchor", "node"]).where("doc_id > first").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
-    found = written(marked.select("doc_id", "text_key", F.lit(False).alias("whole"), "starts").unionByName(copies.select("doc_id", "text_key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))), "repeats")
-    for table in (leaves, nodes, copies):
+    passages = written(_passages(keyed.join(shared, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared"), window, gram), "passages")
+    remove(shared)
+    return passages, copies
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """``doc_id, text_key, whole, starts``: texts with windows that a smaller doc_id has too.
+
+    starts are the first words of those windows, sorted; whole is true where all of the text's windows
+    are such, and starts is then null. text_key is the ``hash`` of the text, for rows with one doc_id.
+    """
+    passages, copies = _pruned(docs, window, gram, True)
+    suffixes, hot, tables = _grouped(passages, window, window, group_suffixes)
+    marked = _marks(suffixes.where("_group is not null"), window)
+    if hot:
+        common = written(suffixes.where("_group is null").drop("_group", "before"), "common")
+        nodes = written(common.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("words", "first"), "nodes")
+        marked = marked.unionByName(common.join(nodes, "words").where("doc_id > first").select("doc_id", "text_key", "pos"))
+        tables += [common, nodes]
+    starts = marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    found = written(starts.select("doc_id", "text_key", F.lit(False).alias("whole"), "starts").unionByName(copies.select("doc_id", "text_key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))), "repeats")
+    for table in (passages, copies, *tables):
+        remove(table)
+    return found
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """``words, n_words, n_places, first_doc, open``: word sequences of at least ``window`` words in several documents that no word before or after extends everywhere.
+
+    They are the deep internal nodes whose leaves have different words before them. words is a string joined by spaces
+    (words of over LONG bytes as digests), n_places counts all places, first_doc is the smallest doc_id. Trees are cut at ``depth`` words: a
+    longer repeat is there by its first ``depth`` words, with open true. Null doc_ids and texts have no part; rows of equal doc_id are one document.
+    """
+    schema = _arrow(_REPEATS)
+    passages, _ = _pruned(docs, window, gram, False)
+    suffixes, hot, tables = _grouped(passages, window, depth, group_suffixes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_group(batches, ["words", "doc_id", "before"]):
+            out = []
+            for n, _, lo, hi in internal_nodes([r[0] for r in rows]):
+                ids, before = {r[1] for r in rows[lo:hi]}, {r[2] for r in rows[lo:hi]}
+                if n >= window and len(ids) > 1 and (len(before) > 1 or None in before):
+                    out.append((_SEPARATOR.join(rows[lo][0].split(_SEPARATOR)[:n]), n, hi - lo, min(ids), n == depth))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    found = suffixes.where("_group is not null").repartition("_group").sortWithinPartitions("_group").mapInArrow(frugal(run), _REPEATS)
+    if hot:
+        # The nodes of a common passage by an aggregate for each depth: a node is where the next words differ, or the cut.
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _sliced(batches, "words"):
+                out = []
+                for doc_id, before, raw in zip(*(part.column(c).to_pylist() for c in ("doc_id", "before", "words")), strict=True):
+                    words = raw.split(_SEPARATOR)
+                    out += [(doc_id, before, _SEPARATOR.join(words[:n]), n, words[n] if n < len(words) else None) for n in range(window, len(words) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+        ddl = "doc_id long, before binary, words binary, n_words int, after binary"
+        kinds = _arrow(ddl)
+        nodes = suffixes.where("_group is null").select("doc_id", "before", "words").mapInArrow(frugal(prefixes), ddl).groupBy("words", "n_words").agg(
+            F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last"), F.min("before").alias("_b1"), F.max("before").alias("_b2"), F.count("before").alias("_b"),
+            F.min("after").alias("_a1"), F.max("after").alias("_a2"), F.count("after").alias("_a"),
+        )
+        nodes = nodes.where("first_doc < _last and (_b < n_places or _b1 < _b2) and (_a < n_places or _a1 < _a2)")
+        found = found.unionByName(nodes.select("words", "n_words", "n_places", "first_doc", (F.col("n_words") == depth).alias("open")))
+    found = written(found.withColumn("words", F.translate(F.decode("words", "UTF-8"), "\x00 ", " \x00")), "maximal")
+    for table in (passages, *tables):
         remove(table)
     return found
 
@@ -227,7 +405,7 @@ def dedup_counts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     kinds = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, "text"):
             sizes, removed, digests = [], [], []
             for raw, whole, starts in zip(_raw(batch), batch.column("_rep_whole").to_pylist(), batch.column("_rep_starts"), strict=True):
                 words = raw.split() if raw else []
@@ -240,7 +418,7 @@ def dedup_counts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(removed), pa.array(digests)], schema=kinds)
 
     base = docs.select("doc_id", "text")
-    return _with_repeats(base, repeats(base, window, gram)).select("doc_id", "text", "_rep_whole", "_rep_starts").mapInArrow(run, schema)
+    return _with_repeats(base, repeats(base, window, gram)).select("doc_id", "text", "_rep_whole", "_rep_starts").mapInArrow(frugal(run), schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -253,7 +431,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     kinds = _arrow(docs.schema.toDDL())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, "text"):
             keep, texts = [], []
             for i, (raw, whole, starts) in enumerate(zip(_raw(batch), batch.column("_rep_whole").to_pylist(), batch.column("_rep_starts"), strict=True)):
                 if not raw or not (whole or starts.is_valid):
@@ -276,4 +454,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 columns["n_chars"] = pa.array([len(t.decode()) if c and t is not None else n for c, t, n in zip(changed, texts, rows.column("n_chars").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in kinds], schema=kinds)
 
-    return _with_repeats(docs, repeats(docs.select("doc_id", "text"), window, gram)).select(*[f"`{c}`" for c in taken], "_rep_whole", "_rep_starts").mapInArrow(run, docs.schema)
+    return _with_repeats(docs, repeats(docs.select("doc_id", "text"), window, gram)).select(*[f"`{c}`" for c in taken], "_rep_whole", "_rep_starts").mapInArrow(frugal(run), docs.schema)
