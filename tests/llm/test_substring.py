@@ -72,7 +72,7 @@ def plain_maximal(docs, window, depth):
     return out
 
 
-@pytest.mark.parametrize("group_suffixes", [3, 40, 16_384])
+@pytest.mark.parametrize("group_suffixes", [3, 40, 131_072])
 def test_maximal_repeats(spark, docs_of, group_suffixes):
     rnd = random.Random(5)
     make = lambda n, v: " ".join(rnd.choice(v) for _ in range(n))

@@ -7,14 +7,14 @@ group's suffix tree holds every repeat that begins so.
   Most don't, and would be leaves that hang above the depth that counts. They are dropped first: the ``gram``-word run
   with the smallest hash in a window (its minimiser) is the same in equal windows, so a window whose minimiser
   one document alone has is not repeated. What stays of a text is a few passages: runs of windows that may be.
-* Partitioning. The passages' suffixes are counted by their first word. Only prefixes with more than
-  ``group_suffixes`` suffixes are extended, to 2, 4 and 8 words, so a prefix is as long as its group needs to fit in memory.
-* Trees. A task takes one group after the other, sorts its suffixes word by word, takes the lengths
+* Partitioning. The passages' suffixes are counted by their first three words. Only prefixes with more than
+  ``group_suffixes`` suffixes are extended, to the whole window, so a prefix is as long as its group needs to fit in memory.
+* Trees. A task takes some groups at a time, sorts their suffixes word by word, takes the lengths
   of common prefixes and walks the internal nodes. A node at ``window`` words or deeper with leaves of several
   documents is a repeat; leaves whose document is not the first one below the node are marked. Words themselves are
   compared; hashes only choose groups. (A word of over LONG bytes stands in passages as its 256-bit digest.)
-* A prefix of 8 words that is still too frequent belongs to a very common passage. Its deep nodes are found by an
-  aggregate on the words instead, which needs no group in one task.
+* A whole window that is still too frequent is a very common passage: one deep node. Its leaves are cut into parts of
+  bounded size, and the first document below the node is the smallest of the parts' first ones.
 
 Texts that equal a whole text with a smaller doc_id (128-bit digest of all words) are marked at once and left out.
 Each step ends in a table of the shared folder, which bounds both lineage and shuffle files.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ from .storage import remove, written
 from .text import SLICE_BYTES, frugal, slices
 
 WINDOW, GRAM = 13, 8
-#: Suffixes of a group at most, unless 8 words don't tell them apart: about 2 MB of words.
-GROUP_SUFFIXES = 16_384
-#: Lengths of prefixes, in words.
-PREFIXES = (1, 2, 4, 8)
+#: Suffixes of a group at most: about 12 MB of words, 40 MB in a task.
+GROUP_SUFFIXES = 131_072
+#: Lengths of prefixes in words, before the whole window.
+PREFIXES = (3,)
 #: Longer words stand in passages as a digest.
 LONG = 64
 #: Words of a suffix that ``maximal_repeats`` sees.
@@ -120,7 +121,7 @@ def _runs(text: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 _ANCHORS = "doc_id long, text_key int, sequence binary, anchors array<long>"
 _PASSAGES = "doc_id long, text_key int, first int, words binary"
-_SUFFIXES = "doc_id long, text_key int, pos int, " + "".join(f"h{k} long, " for k in PREFIXES) + "before binary, words binary"
+_SUFFIXES = "doc_id long, text_key int, pos int, before binary, words binary"
 _MARKS = "doc_id long, text_key int, pos int"
 _REPEATS = "words binary, n_words int, n_places long, first_doc long, open boolean"
 
@@ -187,64 +188,74 @@ def _passages(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(frugal(run), _PASSAGES)
 
 
-def _suffixes(passages: DataFrame, window: int, depth: int, texts: bool) -> DataFrame:
+def _suffixes(passages: DataFrame, window: int, depth: int, prefixes: list[int], texts: bool = False) -> DataFrame:
     """Suffixes of at least ``window`` words, cut after ``depth``, with hashes of their prefixes; without ``texts`` the hashes alone."""
-    ddl = _SUFFIXES if texts else ", ".join(f"h{k} long" for k in PREFIXES)
+    ddl = ", ".join([f"h{k} long" for k in prefixes] + [_SUFFIXES] * texts)
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _sliced(batches, "words"):
             words = Words(_raw(part, "words"), _SEPARATED, _SEPARATOR)
             at, of = words.starts(window)
-            columns = [pa.array(words.runs_of(min(k, window))[at].view(np.int64)) for k in PREFIXES]
+            columns = [pa.array(words.runs_of(k)[at].view(np.int64)) for k in prefixes]
             if texts:
                 start, end, raw = words.start.tolist(), words.end.tolist(), words.raw
                 last = np.minimum(at + depth, words.first[of + 1]) - 1
                 found = [raw[start[a] : end[b]] for a, b in zip(at.tolist(), last.tolist(), strict=True)]
-                before = [raw[start[a - 1] : end[a - 1]] if a > f else None for a, f in zip(at.tolist(), words.first[of].tolist(), strict=True)] if depth > window else [None] * len(at)
+                before = [raw[start[a - 1] : end[a - 1]] if a > f else None for a, f in zip(at.tolist(), words.first[of].tolist(), strict=True)] if depth > window else pa.nulls(len(at), pa.binary())
                 pos = part.column("first").to_numpy()[of] + (at - words.first[of])
-                columns = [part.column("doc_id").take(pa.array(of)), part.column("text_key").take(pa.array(of)), pa.array(pos.astype(np.int32)), *columns, pa.array(before, pa.binary()), pa.array(found, pa.binary())]
+                columns += [part.column("doc_id").take(pa.array(of)), part.column("text_key").take(pa.array(of)), pa.array(pos.astype(np.int32)), pa.array(before, pa.binary()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return passages.mapInArrow(frugal(run), ddl)
 
 
 def _grouped(passages: DataFrame, window: int, depth: int, group_suffixes: int) -> tuple[DataFrame, bool, list[DataFrame]]:
-    """Suffixes with ``_group``, null where 8 words begin too many; whether there are such; and the tables it reads."""
-    hashes, tables = _suffixes(passages, window, depth, False), []
-    for k in PREFIXES:
-        many = hashes
-        for j, table in zip(PREFIXES, tables, strict=False):
-            many = many.join(table, f"h{j}", "left_semi")
+    """Suffixes with ``_group``, null where whole windows are too many; whether there are such; and the tables it reads."""
+    lengths, tables = [k for k in PREFIXES if k < window] + [window], []
+    for i, k in enumerate(lengths):
+        hashes, key = _suffixes(passages, window, depth, lengths[: i + 1]), F.col(f"h{k}")
+        if i:
+            # Suffixes with shorter prefixes that are not too frequent are counted together, under null.
+            longer = tables[-1].select(F.col(f"h{lengths[i - 1]}").alias("_many"))
+            hashes = hashes.join(longer, F.col(f"h{lengths[i - 1]}") == F.col("_many"), "left")
+            key = F.when(F.col("_many").isNotNull(), key)
         # A prefix in this table has so many suffixes that the table is at most their number over group_suffixes long.
-        tables.append(written(many.groupBy(f"h{k}").agg(F.count("*").alias("n")).where(F.col("n") > group_suffixes).select(f"h{k}"), f"prefixes-{k}"))
-        if not tables[-1].limit(1).count():
+        counts = hashes.groupBy(key.alias(f"h{k}")).agg(F.count("*").alias("n"))
+        tables.append(written(counts.where(F.col("n") > group_suffixes).select(f"h{k}"), f"prefixes-{k}").where(f"h{k} is not null"))
+        hot = tables[-1].limit(1).count() > 0
+        if not hot:
             break
-    rows, group = _suffixes(passages, window, depth, True), F.lit(None).cast("long")
-    for k, table in reversed([*zip(PREFIXES, tables, strict=False)]):
+    known = [*zip(lengths, tables, strict=False)]
+    rows, group = _suffixes(passages, window, depth, [k for k, _ in known], True), F.lit(None).cast("long")
+    for k, table in reversed(known):
         rows = rows.join(table.withColumnRenamed(f"h{k}", "_many").withColumn(f"_many_{k}", F.lit(True)), F.col(f"h{k}") == F.col("_many"), "left").drop("_many")
         group = F.when(F.col(f"_many_{k}").isNull(), F.xxhash64(F.lit(k), f"h{k}")).otherwise(group)
-    hot = len(tables) == len(PREFIXES) and tables[-1].limit(1).count() > 0
     return rows.select(group.alias("_group"), "doc_id", "text_key", "pos", "before", "words"), hot, tables
 
 
-def common_words(a: bytes, b: bytes) -> int:
-    """How many words two suffixes share at their start."""
-    if a == b:
-        return a.count(_SEPARATOR) + 1
-    n = 0
-    for x, y in zip(a.split(_SEPARATOR), b.split(_SEPARATOR), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def common_words(suffixes: list[bytes]) -> Iterator[int]:
+    """How many words each of the sorted suffixes but the first shares with the one before, from the start on."""
+    last = suffixes[0]
+    words = last.split(_SEPARATOR)
+    for suffix in suffixes[1:]:
+        if suffix == last:
+            yield len(words)
+            continue
+        here, n = suffix.split(_SEPARATOR), 0
+        for x, y in zip(words, here, strict=False):
+            if x != y:
+                break
+            n += 1
+        yield n
+        last, words = suffix, here
 
 
 def internal_nodes(suffixes: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
     """(depth in words, depth of the parent, first leaf, end leaf) of each internal node below the root of the tree of sorted suffixes; children first."""
     above: list[tuple[int, int]] = [(0, 0)]
-    for i in range(1, len(suffixes) + 1):
-        depth, begin = common_words(suffixes[i - 1], suffixes[i]) if i < len(suffixes) else 0, i - 1
+    for i, depth in enumerate(chain(common_words(suffixes), (0,)), 1):
+        begin = i - 1
         while above[-1][0] > depth:
             d, begin = above.pop()
             yield d, max(depth, above[-1][0]), begin, i
@@ -252,18 +263,27 @@ def internal_nodes(suffixes: list[bytes]) -> Iterator[tuple[int, int, int, int]]
             above.append((depth, begin))
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
-    """Rows of one group after the other, sorted by their words; a group may be spread over batches."""
-    kept, group = [], None
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in tables of whole groups; no group is in two of them."""
+    kept = None
     for batch in batches:
-        for key, row in zip(batch.column("_group").to_pylist(), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
-            if key != group:
-                if kept:
-                    yield sorted(kept, key=lambda r: r[0])
-                kept, group = [], key
-            kept.append(row)
-    if kept:
-        yield sorted(kept, key=lambda r: r[0])
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows])
+        groups = rows.column("_group").to_numpy()
+        other = np.flatnonzero(groups != groups[-1]) if len(groups) else groups
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if whole:
+            yield rows.slice(0, whole)
+        kept = rows.slice(whole)
+    if kept is not None and kept.num_rows:
+        yield kept
+
+
+def _sorted(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Suffixes in order, and their rows. Suffixes of different groups share fewer words than any deep node has."""
+    words = rows.column("words").to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return [words[i] for i in order], np.array(order, dtype=np.int64)
 
 
 def _marks(grouped: DataFrame, window: int) -> DataFrame:
@@ -271,17 +291,16 @@ def _marks(grouped: DataFrame, window: int) -> DataFrame:
     schema = _arrow(_MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int, int]] = []
-        for rows in _by_group(batches, ["words", "doc_id", "text_key", "pos"]):
-            for depth, parent, lo, hi in internal_nodes([r[0] for r in rows]):
-                if depth >= window > parent:  # all deeper nodes lie below such a one
-                    first = min(r[1] for r in rows[lo:hi])
-                    found += [r[1:] for r in rows[lo:hi] if r[1] > first]
-            if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        for rows in _by_group(batches):
+            suffixes, order = _sorted(rows)
+            # All deeper nodes lie below such a one, and these don't overlap.
+            deep = np.array([(lo, hi) for depth, parent, lo, hi in internal_nodes(suffixes) if depth >= window > parent], dtype=np.int64).reshape(-1, 2)
+            if len(deep):
+                docs = rows.column("doc_id").to_numpy()[order]
+                first = np.minimum.reduceat(np.append(docs, docs[-1]), deep.ravel())[::2]
+                leaves = np.concatenate([np.arange(lo, hi) for lo, hi in deep.tolist()])
+                leaves = leaves[docs[leaves] > np.repeat(first, deep[:, 1] - deep[:, 0])]
+                yield rows.select(schema.names).take(pa.array(order[leaves])).combine_chunks().cast(schema).to_batches()[0] if len(leaves) else pa.RecordBatch.from_pylist([], schema)
 
     return grouped.select("_group", "doc_id", "text_key", "pos", "words").repartition("_group").sortWithinPartitions("_group").mapInArrow(frugal(run), _MARKS)
 
@@ -319,9 +338,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_suffi
     marked = _marks(suffixes.where("_group is not null"), window)
     if hot:
         common = written(suffixes.where("_group is null").drop("_group", "before"), "common")
-        nodes = written(common.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("words", "first"), "nodes")
-        marked = marked.unionByName(common.join(nodes, "words").where("doc_id > first").select("doc_id", "text_key", "pos"))
-        tables += [common, nodes]
+        # No window has more leaves than there are here, so no part has many more than group_suffixes.
+        parts = -(-common.count() // group_suffixes)
+        leaves = F.collect_list(F.struct("doc_id", "text_key", "pos")).alias("leaves")
+        parts = written(common.groupBy("words", F.expr(f"pmod(xxhash64(doc_id, text_key, pos), {parts})").alias("part")).agg(F.min("doc_id").alias("least"), leaves), "parts")
+        nodes = written(parts.groupBy("words").agg(F.min("least").alias("first")), "nodes")
+        later = parts.join(nodes, "words").select(F.explode(F.expr("filter(leaves, x -> x.doc_id > first)")).alias("x"))
+        marked = marked.unionByName(later.select("x.doc_id", "x.text_key", "x.pos"))
+        tables += [common, parts, nodes]
     starts = marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
     found = written(starts.select("doc_id", "text_key", F.lit(False).alias("whole"), "starts").unionByName(copies.select("doc_id", "text_key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))), "repeats")
     for table in (passages, copies, *tables):
@@ -341,12 +365,12 @@ def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dep
     suffixes, hot, tables = _grouped(passages, window, depth, group_suffixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_group(batches, ["words", "doc_id", "before"]):
-            out = []
-            for n, _, lo, hi in internal_nodes([r[0] for r in rows]):
-                ids, before = {r[1] for r in rows[lo:hi]}, {r[2] for r in rows[lo:hi]}
-                if n >= window and len(ids) > 1 and (len(before) > 1 or None in before):
-                    out.append((_SEPARATOR.join(rows[lo][0].split(_SEPARATOR)[:n]), n, hi - lo, min(ids), n == depth))
+        for rows in _by_group(batches):
+            (suffixes, order), out = _sorted(rows), []
+            docs, before = rows.column("doc_id").to_numpy()[order], rows.column("before").take(pa.array(order)).to_pylist()
+            for n, _, lo, hi in internal_nodes(suffixes):
+                if n >= window and docs[lo:hi].min() < docs[lo:hi].max() and (len(kinds := set(before[lo:hi])) > 1 or None in kinds):
+                    out.append((_SEPARATOR.join(suffixes[lo].split(_SEPARATOR)[:n]), n, hi - lo, int(docs[lo:hi].min()), n == depth))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
