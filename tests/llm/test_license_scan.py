@@ -1,6 +1,8 @@
+import random
 import re
 import re._constants as sre
 import re._parser as sre_parser
+import time
 
 from tidelog.llm.license_scan import BASE_PHRASES, LicenseScanner, parse_rules, resolve, scan_licenses
 
@@ -102,3 +104,30 @@ def test_frame(spark, docs_of):
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and 0 <= r.score <= 1
     assert by[91].first_word == 100_000 and by[90].labels == ""
     assert scan_licenses(docs_of([])).count() == 0
+
+
+def plain_resolve(found, rules):
+    """One by one by priority, length, rule and start, against all that are kept."""
+    kept = []
+    for start, end, rule in sorted(set(found), key=lambda x: (-rules[x[2]].priority, x[0] - x[1], x[2], x[0])):
+        over = [k for k in kept if start < k[1] and k[0] < end]
+        if not any(k[0] <= start and end <= k[1] or rules[k[2]].priority > rules[rule].priority for k in over):
+            kept.append((start, end, rule))
+    return sorted(kept)
+
+
+def test_resolution_against_the_plain_one():
+    rules = parse_rules("\n".join(f"r{i}|{p}|k|k" for i, p in enumerate([9, 9, 8, 5, 5, 5, 1])))
+    rnd = random.Random(3)
+    for _ in range(400):
+        found = [(a := rnd.randint(0, 60), a + rnd.randint(1, 15), rnd.randrange(7)) for _ in range(rnd.randint(0, 40))]
+        assert resolve(found, rules) == plain_resolve(found, rules)
+
+
+def test_very_many_detections():
+    began = time.process_time()
+    scanner, line = LicenseScanner(), "copyright (c) 2020 some one all rights reserved mit license "
+    n, places, stand = scanner.scan(line.encode() * 60_000)
+    few = scanner.scan(line.encode() * 6)
+    assert time.process_time() - began < 60
+    assert len(places) == 60_000 and n == 10_000 * few[0] and len(stand) == 10_000 * len(few[2]) >= 120_000

@@ -9,7 +9,7 @@ priority, is suppressed. The contract's base phrases are counted apart and never
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -43,12 +43,31 @@ def parse_rules(table: str = RULES) -> list[Rule]:
 
 
 def resolve(found: list[tuple[int, int, int]], rules: list[Rule]) -> list[tuple[int, int, int]]:
-    """Keep of ``(start, end, rule)`` those that no kept one contains and no kept one of higher priority overlaps."""
+    """Keep of ``(start, end, rule)`` those that no kept one contains and no kept one of higher priority overlaps.
+
+    Of equal intervals the first rule's is kept. Sorting apart, the time grows with the number of detections.
+    """
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for x in set(found):
+        by.setdefault(rules[x[2]].priority, []).append(x)
     kept: list[tuple[int, int, int]] = []
-    for start, end, rule in sorted(set(found), key=lambda x: (-rules[x[2]].priority, x[0] - x[1], x[2], x[0])):
-        over = [k for k in kept if start < k[1] and k[0] < end]
-        if not any(k[0] <= start and end <= k[1] or rules[k[2]].priority > rules[rule].priority for k in over):
-            kept.append((start, end, rule))
+    begins, ends = [], []  # what those of higher priorities cover, as intervals apart from each other
+    for priority in sorted(by, reverse=True):
+        reach, own = -1, []
+        for start, end, rule in sorted(by[priority], key=lambda x: (x[0], -x[1], x[2])):
+            k = bisect_left(begins, end) - 1
+            if k >= 0 and ends[k] > start or end <= reach:
+                continue  # overlaps a higher one, or one that begins no later ends no earlier
+            reach = end
+            own.append((start, end, rule))
+        kept += own
+        begins, ends, both = [], [], sorted((a, b) for a, b, _ in kept)
+        for a, b in both:
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                begins.append(a)
+                ends.append(b)
     return sorted(kept)
 
 
