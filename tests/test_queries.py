@@ -102,6 +102,33 @@ def test_plans(spark):
     assert "EqualTo(c_mktsegment" in plan and "c_name" not in plan
 
 
+def test_plans_of_entities_and_wildcards(spark):
+    plan = lambda name: QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(n_nationkey,7)" in plan("entity_literal")
+    assert plan("wildcard_values").count("FileScan") == 1 and "EqualTo(n_nationkey,7)" in plan("wildcard_values")
+    assert plan("attribute_variable").count("FileScan") <= 8
+    from tidelog.sources.catalog import ID_SPACE, supplied_catalog
+
+    catalog = supplied_catalog(spark, SMALL)
+    df = run_query(f"[:find ?k :where [?c :customer/nation {2 * ID_SPACE + 3}] [?c :customer/key ?k]]", catalog)
+    assert "EqualTo(c_nationkey,3)" in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
+    assert run_query(f"[:find ?k :where [?c :customer/nation {3 * ID_SPACE + 3}] [?c :customer/key ?k]]", catalog).count() == 0
+    assert run_query(f"[:find ?v :where [{9 * ID_SPACE + 3} _ ?v]]", catalog).count() == 0
+    assert run_query("[:find ?e :where [?e _ #inst \"1900-01-01\"]]", catalog).count() == 0
+
+
+def test_parts_without_needed_variables_are_one_row(spark):
+    """A product with a part that only has to exist counts its weight and doesn't pair its rows."""
+    facts = [(e, "a/v", e) for e in range(40)] + [(100 + e, "b/v", e) for e in range(50)]
+    catalog = films.catalog(spark, facts, {"a/v": "long", "b/v": "long"})
+    assert rows(run_query("[:find (count ?x) :where [?x :a/v ?v] [?y :b/v ?w]]", catalog)) == [(2000,)]
+    assert len(rows(run_query("[:find ?x :where [?x :a/v ?v] [?y :b/v _]]", catalog))) == 40
+    assert rows(run_query("[:find ?x :where [?x :a/v ?v] [?y :b/v 77]]", catalog)) == []
+    df = run_query("[:find ?x :where [?x :a/v ?v] [?y :b/v _]]", catalog)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [sum(w" in plan.split("Join Cross")[1]
+
+
 FAST = sorted(set(QUERIES) - {"incremental_join", "incremental_agg", "as_of", "history_index", "stream_maintained_agg", "stream_delta_join"})
 
 

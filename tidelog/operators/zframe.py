@@ -46,6 +46,7 @@ class ZFrame:
     # Z-set algebra
 
     def consolidate(self) -> ZFrame:
+        """Equal rows added up, without those of weight zero; of a relation without columns one row with the total, if any."""
         return ZFrame(self.df.groupBy(*self._cols()).agg(F.sum(W).alias(W)).where(F.col(W) != 0))
 
     def plus(self, *others: ZFrame) -> ZFrame:

@@ -59,8 +59,9 @@ def _const_type(value: object) -> str | None:
 
 
 def _wild(catalog: AttributeCatalog, pattern: Pattern, frame: ZFrame | None) -> _Relation:
-    frame = frame or catalog.wildcard()
-    if isinstance(pattern.value, Const) and (kind := _const_type(pattern.value.value)):
+    kind = _const_type(pattern.value.value) if isinstance(pattern.value, Const) else None
+    frame = frame or catalog.wildcard(entity=pattern.entity.value if isinstance(pattern.entity, Const) else None, kind=kind)
+    if kind:
         frame = frame.where(F.col("v_type") == kind)
     return _bind(frame, [("e", pattern.entity), ("a", pattern.attribute), ("v", _text_const(pattern.value))])
 
@@ -79,16 +80,26 @@ def _relations(catalog: AttributeCatalog, patterns: list[Pattern], override: Ove
             if a.table.unique and not a.many and not isinstance(p.entity, Blank):
                 stars.setdefault((p.entity, a.table.name), []).append(p)
             else:
-                out.append(_bind(catalog.star([a.name]), [("e", p.entity), ("v0", p.value)]))
+                out.append(_bind(catalog.star([a.name], *_fixed(catalog, p.entity, [p])), [("e", p.entity), ("v0", p.value)]))
     for (entity, _), group in stars.items():
         names = list(dict.fromkeys(p.attribute.name for p in group))
         places = [("e", entity)] + [(f"v{names.index(p.attribute.name)}", p.value) for p in group]
-        out.append(_bind(catalog.star(names), places))
+        out.append(_bind(catalog.star(names, *_fixed(catalog, entity, group)), places))
     return out
 
 
-def _joined(relations: list[_Relation]) -> ZFrame:
-    """Left-deep by shared variables; the most constants first."""
+def _fixed(catalog: AttributeCatalog, entity: Term, patterns: list[Pattern]) -> tuple[int | None, dict[str, int]]:
+    """The entity that is stated, and the targets that are stated for reference attributes."""
+    refers = {p.attribute.name: p.value.value for p in patterns if isinstance(p.value, Const) and isinstance(p.value.value, int) and catalog.get(p.attribute.name).ref}
+    return (entity.value if isinstance(entity, Const) else None), refers
+
+
+def _joined(relations: list[_Relation], needed: set[str] | None = None) -> ZFrame:
+    """Left-deep by shared variables; the most constants first.
+
+    Parts that share no variable are multiplied. Before that each is added up over the variables that are ``needed``
+    later (all if None): one that binds none of them is a single row with its total weight.
+    """
     rest = sorted(relations, key=lambda r: -r.constants)
     parts: list[ZFrame] = []
     while rest:
@@ -100,12 +111,25 @@ def _joined(relations: list[_Relation]) -> ZFrame:
             frame = frame.join(nearest.frame, sorted(nearest.variables & have))
             have |= nearest.variables
         parts.append(frame)
+    if len(parts) > 1 and needed is not None:
+        parts = [p.select(*[c for c in p.columns if c in needed]).consolidate() for p in parts]
     out = parts[0]
     for part in parts[1:]:
         out = out.times(part)
     return out
 
 
+def _used(clause: Clause) -> set[str]:
+    """Variables of a clause that is no pattern."""
+    if isinstance(clause, Predicate):
+        return {a.name for a in clause.args if isinstance(a, Var)}
+    if isinstance(clause, GetElse):
+        return {clause.entity.name}
+    if isinstance(clause, Not):
+        return set().union(*(bound((c,)) if isinstance(c, Pattern | Or) else _used(c) for c in clause.clauses))
+    return set()
+
+
 def _conditions(frame: ZFrame, predicates: list[Predicate]) -> ZFrame:
     kinds = {f.name: f.dataType for f in frame.df.schema.fields}
     for p in predicates:
@@ -122,8 +146,8 @@ def _conditions(frame: ZFrame, predicates: list[Predicate]) -> ZFrame:
     return frame
 
 
-def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Override | None = None, given: ZFrame | None = None) -> ZFrame:
-    """The weighted relation of all variables that ``clauses`` (and ``given``) bind."""
+def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Override | None = None, given: ZFrame | None = None, needed: set[str] | None = None) -> ZFrame:
+    """The weighted relation of all variables that ``clauses`` (and ``given``) bind, or of those in ``needed`` at least."""
     relations = _relations(catalog, [c for c in clauses if isinstance(c, Pattern)], override)
     if given is not None:
         relations.append(_Relation(given, 1))
@@ -134,7 +158,7 @@ def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Overr
             relations.append(_Relation(ZFrame(parts[0].union(*parts[1:]).distinct_set()), 0))
     if not relations:
         raise UnsupportedQueryError("where", clauses, "no pattern")
-    frame = _joined(relations)
+    frame = _joined(relations, None if needed is None else needed.union(*(_used(c) for c in clauses)))
     for c in clauses:
         if isinstance(c, GetElse):
             values = catalog.star([c.attribute]).df.select(F.col("e").alias(c.entity.name), F.col("v0").alias(c.out))
@@ -153,8 +177,8 @@ def compile_query(query: Query, catalog: AttributeCatalog, override: Override |
     """The weighted relation that :find reads from: its variables (and :with), before aggregates or the set view."""
     if query.inputs and (inputs is None or set(query.inputs) - set(inputs.columns)):
         raise UnboundVariableError("inputs for " + ", ".join(f"?{i}" for i in query.inputs))
-    frame = body(catalog, query.where, override, ZFrame(inputs.select(*query.inputs).distinct()) if query.inputs else None)
     needed = dict.fromkeys([*query.plain, *(a.var for a in query.aggregates), *query.with_vars])
+    frame = body(catalog, query.where, override, ZFrame(inputs.select(*query.inputs).distinct()) if query.inputs else None, set(needed))
     return frame.select(*needed)
 
 
