@@ -4,7 +4,7 @@ import duckdb
 import films
 import pytest
 from tidelog import run_query
-from tidelog.errors import TypeMismatchError, UnboundVariableError, UnknownAttributeError
+from tidelog.errors import TypeMismatchError, UnboundVariableError, UnknownAttributeError, UnsupportedQueryError
 from tidelog.functions.predicates import register_predicate
 from tidelog.queries import HEADLINE, ORACLES, QUERIES
 
@@ -92,6 +92,24 @@ def test_extensions(spark, catalog):
     assert ask("[:find ?t :where [_ :movie/title ?t] [(ends? ?t)]]") == [("Predator 2",), ("Terminator 2",)]
 
 
+def test_variables_with_names_of_own_columns(spark):
+    facts = [(1, "a/v", 5), (2, "a/v", 5), (3, "a/v", 6)]
+    catalog = films.catalog(spark, facts, {"a/v": "long"})
+    got = run_query("[:find ?w (count ?_w) :where [?_w :a/v ?w] [?_x :a/v ?w] [(< ?w 6)]]", catalog)
+    assert got.columns == ["w", "count__w"] and rows(got) == [(5, 4)]
+    assert rows(run_query("[:find ?w :in $ ?_cnt :where [?w :a/v ?_cnt]]", catalog, extended=True, inputs=spark.createDataFrame([(6,)], "_cnt long"))) == [(3,)]
+
+
+def test_collections_are_refused_as_constants(catalog):
+    for constant in ("#{1 2}", "{:a 1}", "[1 2]"):
+        with pytest.raises(UnsupportedQueryError, match="single value"):
+            run_query(f"[:find ?e :where [?e :movie/year {constant}]]", catalog)
+        with pytest.raises(UnsupportedQueryError, match="single value"):
+            run_query(f"[:find ?e :where [?e _ {constant}]]", catalog)
+        with pytest.raises(UnsupportedQueryError, match="single value"):
+            run_query(f"[:find ?e :where [?e :movie/year ?y] [(< ?y {constant})]]", catalog)
+
+
 def test_plans(spark):
     """One scan for the attributes of an entity, with filters and columns in it."""
     from tidelog.sources.catalog import supplied_catalog

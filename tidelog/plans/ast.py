@@ -94,5 +94,5 @@ class Query:
 
     def columns(self) -> list[str]:
         """Output names in :find order: variables as they are, aggregates as fn_var."""
-        names = [f.name if isinstance(f, Var) else f"{f.fn.replace('-', '_')}_{f.var}" for f in self.find]
+        names = [(f.name if isinstance(f, Var) else f"{f.fn.replace('-', '_')}_{f.var}").strip() for f in self.find]
         return [n if names.index(n) == i else f"{n}_{names[:i].count(n) + 1}" for i, n in enumerate(names)]

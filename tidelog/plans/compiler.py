@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnboundVariableError, UnsupportedQueryError
@@ -36,13 +36,20 @@ class _Relation:
         return set(self.frame.columns)
 
 
+def _literal(value: object) -> Column:
+    """A constant; the grammar knows collections, but no column holds one."""
+    if isinstance(value, frozenset | dict | list | tuple):
+        raise UnsupportedQueryError("constant", value, "a constant is a single value")
+    return F.lit(value)
+
+
 def _bind(frame: ZFrame, places: list[tuple[str, Term]]) -> _Relation:
     """Columns to variables: constants filter, a variable met again must be equal, ``_`` goes."""
     first: dict[str, str] = {}
     constants = 0
     for column, term in places:
         if isinstance(term, Const):
-            frame, constants = frame.where(F.col(column) == F.lit(term.value)), constants + 1
+            frame, constants = frame.where(F.col(column) == _literal(term.value)), constants + 1
         elif isinstance(term, Var):
             if term.name in first:
                 frame, constants = frame.where(F.col(first[term.name]) == F.col(column)), constants + 1
@@ -51,6 +58,8 @@ def _bind(frame: ZFrame, places: list[tuple[str, Term]]) -> _Relation:
 
 
 def _text_const(term: Term) -> Term:
+    if isinstance(term, Const):
+        _literal(term.value)
     return Const(str(term.value).lower() if isinstance(term.value, bool) else str(term.value)) if isinstance(term, Const) else term
 
 
@@ -140,7 +149,7 @@ def _conditions(frame: ZFrame, predicates: list[Predicate]) -> ZFrame:
                     raise UnboundVariableError(f"no pattern binds ?{a.name}")
                 args.append((F.col(a.name), kinds[a.name]))
             else:
-                literal = F.lit(a.value)
+                literal = _literal(a.value)
                 args.append((literal, frame.df.select(literal.alias("x")).schema[0].dataType))
         frame = frame.where(predicate(p.op, args))
     return frame
@@ -175,10 +184,11 @@ def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Overr
 
 def compile_query(query: Query, catalog: AttributeCatalog, override: Override | None = None, inputs: DataFrame | None = None) -> ZFrame:
     """The weighted relation that :find reads from: its variables (and :with), before aggregates or the set view."""
-    if query.inputs and (inputs is None or set(query.inputs) - set(inputs.columns)):
-        raise UnboundVariableError("inputs for " + ", ".join(f"?{i}" for i in query.inputs))
+    if query.inputs and (inputs is None or {i.strip() for i in query.inputs} - set(inputs.columns)):
+        raise UnboundVariableError("inputs for " + ", ".join(f"?{i.strip()}" for i in query.inputs))
+    given = ZFrame(inputs.select(*[F.col(f"`{i.strip()}`").alias(i) for i in query.inputs]).distinct()) if query.inputs else None
     needed = dict.fromkeys([*query.plain, *(a.var for a in query.aggregates), *query.with_vars])
-    frame = body(catalog, query.where, override, ZFrame(inputs.select(*query.inputs).distinct()) if query.inputs else None, set(needed))
+    frame = body(catalog, query.where, override, given, set(needed))
     return frame.select(*needed)
 
 
