@@ -130,3 +130,65 @@ def test_delta_join_emits_each_pair_once(spark, tmp_path):
             put([(1, "Bob", 1)], "c long, n string, w long", left)
             put([(1, "USA", -1), (1, "US", 1)], "c long, k string, w long", right)
     assert sorted(out) == sorted([(1, "Alice", "USA", 1), (1, "Alice", "USA", -1), (1, "Alice", "US", 1), (1, "Bob", "USA", 1), (1, "Bob", "USA", -1), (1, "Bob", "US", 1)])
+
+
+def test_a_log_at_once_equals_its_transactions_one_by_one(spark, tmp_path):
+    rnd = random.Random(4)
+    kinds, made = {"r": "long", "v": "long"}, []
+    for tx in range(2, 9):
+        made.append((tx, [(rnd.randint(1, 4), rnd.choice(["r", "v"]), rnd.randint(1, 4), rnd.random() < 0.7) for _ in range(6)]))
+    for k, query in enumerate(QUERIES):
+        one, all_ = (View(spark, query, kinds, str(tmp_path / f"{n}{k}")) for n in "ab")
+        for tx, items in made:
+            one.apply(items, tx)
+        assert all_.replay(datoms(spark, made[:3]))["tx"] == 4
+        all_.replay(datoms(spark, made))
+        assert all_.history_index() == one.history_index() == [tx for tx, _ in made] and all_.replay(datoms(spark, made))["skipped"]
+        for tx in (2, 4, 5, 8):
+            assert rows(all_.as_of(tx)) == rows(one.as_of(tx))
+
+
+def test_a_crash_in_compaction_loses_nothing(spark, tmp_path, monkeypatch):
+    from tidelog.streaming import view as module
+
+    def filled(name):
+        view = View(spark, "[:find ?v (count ?e) :where [?e :a ?v]]", {"a": "string"}, str(tmp_path / name))
+        view.apply([(1, "a", "x"), (2, "a", "y")])
+        view.apply([(2, "a", "y", False), (3, "a", "x")])
+        return view
+
+    want = [("x", 2)]
+    for step in ("write_text", "delete"):
+        for nth in range(4):
+            view, calls = filled(f"{step}{nth}"), []
+
+            def fails(*args, real=getattr(module, step), nth=nth, calls=calls):
+                calls.append(args)
+                if len(calls) > nth:
+                    raise OSError("lost")
+                return real(*args)
+
+            with monkeypatch.context() as m:
+                m.setattr(module, step, fails)
+                try:
+                    view.compact()
+                except OSError:
+                    pass
+            again = View(spark, view.query, {"a": "string"}, view.path)
+            assert rows(again.result()) == want
+            again.apply([(1, "a", "x", False)])
+            again.compact()
+            assert rows(again.result()) == [("x", 1)] and again.history_index() == [3]
+            if len(calls) <= nth:
+                break
+
+
+def test_stream_keeps_transaction_times(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for tx, part in [(5, [(1, "a", "x")]), (7, [(2, "a", "x")]), (7, [(1, "a", "x", False)]), (6, [(9, "a", "late")])]:
+        datoms(spark, [(tx, part)]).coalesce(1).write.mode("append").parquet(path)
+    view = View(spark, "[:find ?v (count ?e) :where [?e :a ?v]]", {"a": "string"}, str(tmp_path / "v"))
+    S.maintain(view, S.read_datoms(spark, path, files_per_batch=1), str(tmp_path / "c")).awaitTermination()
+    assert view.history_index() == [5, 6, 7]
+    assert [rows(view.as_of(t)) for t in (5, 6, 7)] == [[("x", 1)], [("late", 1), ("x", 1)], [("late", 1), ("x", 1)]]
+    assert view.apply_batch(datoms(spark, [(8, [(1, "a", "z")])]), 3)["skipped"]

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W = "w"
+#: Changes may have the time of their transaction in this column. It goes along like the weight; what is made of several rows has their latest time.
+T = "_t"
 
 
 class ZFrame:
@@ -37,11 +39,14 @@ class ZFrame:
 
     @property
     def columns(self) -> list[str]:
-        """Without the weight."""
-        return [c for c in self.df.columns if c != W]
+        """Without the weight and the time."""
+        return [c for c in self.df.columns if c not in (W, T)]
+
+    def _time(self) -> list[str]:
+        return [T] if T in self.df.columns else []
 
     def _cols(self) -> list[Column]:
-        return [F.col(f"`{c}`") for c in self.columns]
+        return [F.col(f"`{c}`") for c in [*self.columns, *self._time()]]
 
     # Z-set algebra
 
@@ -74,15 +79,20 @@ class ZFrame:
 
     def times(self, other: ZFrame) -> ZFrame:
         """All pairs, weights multiplied: a cartesian product, for relations without a common variable."""
-        return self._paired(self.df.crossJoin(other.df.withColumnRenamed(W, "_w")), other.unit)
+        return self._paired(self.df.crossJoin(other._other()), other)
 
     def join(self, other: ZFrame, on: list[str]) -> ZFrame:
         """Pairs that agree in ``on``, weights multiplied; null agrees with nothing."""
-        return self._paired(self.df.join(other.df.withColumnRenamed(W, "_w"), on), other.unit) if on else self.times(other)
+        return self._paired(self.df.join(other._other(), on), other) if on else self.times(other)
+
+    def _other(self) -> DataFrame:
+        return self.df.withColumnsRenamed({W: "_w", T: "_t2"})
 
-    def _paired(self, both: DataFrame, unit: bool) -> ZFrame:
-        names = [F.col(f"`{c}`") for c in both.columns if c not in (W, "_w")]
-        return ZFrame(both.select(*names, (F.col(W) * F.col("_w")).alias(W)), self.unit and unit)
+    def _paired(self, both: DataFrame, other: ZFrame) -> ZFrame:
+        names = [F.col(f"`{c}`") for c in both.columns if c not in (W, "_w", T, "_t2")]
+        times = [F.col(c) for c in (T, "_t2") if c in both.columns]
+        time = [(F.greatest(*times) if len(times) > 1 else times[0]).alias(T)] if times else []
+        return ZFrame(both.select(*names, *time, (F.col(W) * F.col("_w")).alias(W)), self.unit and other.unit)
 
     def distinct_set(self) -> DataFrame:
         """The set of rows with positive weight, without weights."""
@@ -94,7 +104,7 @@ class ZFrame:
         return ZFrame(self.df.where(condition), self.unit)
 
     def select(self, *cols: Column | str) -> ZFrame:
-        return ZFrame(self.df.select(*cols, W), self.unit)
+        return ZFrame(self.df.select(*cols, *self._time(), W), self.unit)
 
     def transform(self, change: Callable[[DataFrame], DataFrame]) -> ZFrame:
         return ZFrame(change(self.df), self.unit)
@@ -129,7 +139,7 @@ class ZFrame:
     def aggregate(self, keys: list[str], sums: dict[str, Column | str] | None = None, counts: list[str] | None = None, hidden: str = "_cnt") -> DataFrame:
         """Weighted sums and counts by ``keys`` with the hidden row count; groups may have a count of zero."""
         weighted = [F.sum((F.col(c) if isinstance(c, str) else c) * F.col(W)).alias(name) for name, c in (sums or {}).items()]
-        return self.df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*weighted, *[F.sum(W).alias(n) for n in counts or []], F.sum(W).alias(hidden))
+        return self.df.groupBy(*[F.col(f"`{k}`") for k in [*keys, *self._time()]]).agg(*weighted, *[F.sum(W).alias(n) for n in counts or []], F.sum(W).alias(hidden))
 
     def group(self, keys: list[str], sums: dict[str, Column | str] | None = None, counts: list[str] | None = None) -> DataFrame:
         """As ``aggregate``, read out: a group is there while it has rows, whatever its sums are."""

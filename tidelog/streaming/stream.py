@@ -20,13 +20,13 @@ def read_datoms(spark: SparkSession, path: str, format: str = "parquet", schema:
 
 
 def maintain(view: View, stream: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Each micro-batch is a transaction of ``view``, numbered from the batch, so a batch that is delivered again changes nothing.
+    """Apply each micro-batch to ``view``; rows with a ``tx`` keep it, so as-of reads work by transaction. A batch that is delivered again changes nothing.
 
     Without ``every`` (such as "5 seconds") the query takes what there is and ends.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        view.apply(batch.drop("tx"), batch_id + 1)
+        view.apply_batch(batch, batch_id)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

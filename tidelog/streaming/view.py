@@ -1,12 +1,14 @@
 """Maintained query results.
 
-A View keeps, as Parquet in a shared folder, a change log for each attribute and one for its result.
-``apply`` takes a transaction's datoms, computes the change of the result from the change alone
+A View keeps, as Parquet in a shared folder, a change log for each attribute and one for its result. Every row has
+the time of its transaction. Changes are applied in batches of one transaction or many, and the change of the result
+comes from theirs alone
 
     d(R1 ⋈ … ⋈ Rn) = Σ i  (R1 … Ri-1 after) ⋈ dRi ⋈ (Ri+1 … Rn before)
 
-and appends it. The result at any time is a sum of weights, so history and as-of reads need no copies.
-Weights are only cut off at zero when a result is read, so the order of datoms in a transaction is immaterial.
+where a row made of several has the latest of their times. So a whole log is one join, whatever the number of its
+transactions, and the result at any time is a sum of weights: history and as-of reads need no copies, and order within a
+batch is immaterial. Weights are only cut off at zero when a result is read.
 """
 
 from __future__ import annotations
@@ -14,24 +16,32 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedQueryError
-from ..operators.zframe import W, ZFrame
+from ..operators.zframe import T, W, ZFrame
 from ..plans.ast import Attr, Pattern, Predicate, Query, Var
 from ..plans.compiler import aggregate_delta, compile_query, read_out
 from ..plans.parser import parse_query
 from ..sources.catalog import AttributeCatalog
-from ..sources.datoms import SCHEMA, Datom, attribute, datoms
-from ..storage import delete, exists, shared_dir
+from ..sources.datoms import SCHEMA, Datom, datoms
+from ..storage import delete, names, read_text, shared_dir, write_text
 
 
 class UnknownTransactionError(LookupError):
     """An as-of time that is not the time of any transaction."""
 
 
+@dataclass(frozen=True)
+class _Batch:
+    times: list[int]
+    streams: list[str]
+    touched: list[int]
+
+
 class View:
     """The result of one query over datoms, kept up to date.
 
@@ -53,35 +63,62 @@ class View:
             if name not in self.schema:
                 raise UnsupportedQueryError("schema", name, "an attribute without a type")
         self.stats: dict[str, object] = {"transactions": 0}
-        self._result_schema = self._delta({n: self._empty(n) for n in self.used}, None).schema
-
-    # State: <path>/attr/<i>/tx=<t> and <path>/result/tx=<t>; a <path>/done/<t> marker ends a transaction.
-
-    def _folder(self, name: str) -> str:
-        return f"{self.path}/attr/{self.used.index(name)}"
-
-    def _empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], f"e long, v {self.schema[name]}, w long")
-
-    def _log(self, folder: str, ddl_or_schema, upto: int | None, inclusive: bool) -> DataFrame | None:
-        done = [t for t in self.history_index() if upto is None or t < upto or inclusive and t == upto]
-        paths = [p for t in done if exists(self.spark, p := f"{folder}/tx={t}")]
-        return self.spark.read.schema(ddl_or_schema).parquet(*paths) if paths else None
-
-    def attribute(self, name: str, before: int | None = None) -> DataFrame:
-        """(e, v, w) of an attribute from all transactions (before ``before``), not consolidated."""
-        found = self._log(self._folder(name), f"e long, v {self.schema[name]}, w long", before, False)
-        return self._empty(name) if found is None else found
+        self._markers: dict[str, _Batch] = {}
+        empty = {n: self.spark.createDataFrame([], self._ddl(n)) for n in self.used}
+        self._result_schema = self._delta(empty, empty).schema
+
+    # State: <path>/g<generation>/log/<batch>/i=<attribute> and …/result/<batch>. A file …/done/<batch>, with the batch's transaction
+    # times, stream batches and attributes, ends a batch. A generation holds once <path>/published/<generation> is there, the first one from the start.
+
+    def _ddl(self, name: str) -> str:
+        return f"e long, v {self.schema[name]}, w long, {T} long"
+
+    def _generation(self) -> int:
+        return max((int(n) for n in names(self.spark, f"{self.path}/published") if n.isdigit()), default=0)
+
+    def _root(self) -> str:
+        return f"{self.path}/g{self._generation()}"
+
+    def _done(self, root: str) -> dict[str, _Batch]:
+        """Applied batches by their first time. Each marker is read once."""
+        out = {}
+        for batch in names(self.spark, f"{root}/done"):
+            if not batch.startswith("_"):
+                if (path := f"{root}/done/{batch}") not in self._markers:
+                    times, streams, touched = (line.split(",") if line else [] for line in read_text(self.spark, path).split("\n"))
+                    self._markers[path] = _Batch([int(t) for t in times], streams, [int(i) for i in touched])
+                out[batch] = self._markers[path]
+        return out
+
+    def _rows(self, root: str, name: str, batches: Iterable[str]) -> DataFrame:
+        """(e, v, w, time) of an attribute; values are stored as text."""
+        if not (paths := [f"{root}/log/{b}/i={self.used.index(name)}" for b in batches]):
+            return self.spark.createDataFrame([], self._ddl(name))
+        rows = self.spark.read.schema(f"e long, v string, w long, {T} long").parquet(*paths)
+        return rows.select("e", F.col("v").cast(self.schema[name]).alias("v"), W, T).where("v is not null")
+
+    def _log(self, root: str, name: str, done: dict[str, _Batch]) -> DataFrame:
+        return self._rows(root, name, [b for b, x in sorted(done.items()) if self.used.index(name) in x.touched])
+
+    def _results(self, root: str, done: dict[str, _Batch], upto: int | None = None) -> DataFrame:
+        """The result's rows, up to a time: batches that began later are not read."""
+        paths = [f"{root}/result/{b}" for b, x in sorted(done.items()) if x.touched and (upto is None or min(x.times) <= upto)]
+        if not paths:
+            return self.spark.createDataFrame([], self._result_schema)
+        rows = self.spark.read.schema(self._result_schema).parquet(*paths)
+        return rows if upto is None else rows.where(F.col(T) <= upto)
+
+    def attribute(self, name: str) -> DataFrame:
+        """(e, v, w, time) of an attribute from all transactions, not consolidated."""
+        root = self._root()
+        return self._log(root, name, self._done(root))
 
     def history_index(self) -> list[int]:
-        """Times of all applied transactions, ascending; a short listing of marker files."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def _delta(self, changes: dict[str, DataFrame], tx: int | None) -> DataFrame:
-        """The change of the result that ``changes`` of attributes make."""
-        before = {n: self.attribute(n, tx) if tx is not None else changes[n] for n in self.used}
+        """Times of all applied transactions, ascending."""
+        return sorted({t for x in self._done(self._root()).values() for t in x.times})
+
+    def _delta(self, changes: dict[str, DataFrame], before: dict[str, DataFrame]) -> DataFrame:
+        """The change of the result that ``changes`` of attributes make, given all their rows ``before``."""
         parts: list[DataFrame] = []
         for k, p in enumerate(self.patterns):
             if p.attribute.name not in changes:
@@ -93,7 +130,7 @@ class View:
                     df = changes[name]
                 else:
                     df = before[name].unionByName(changes[name]) if i < k and name in changes else before[name]
-                return ZFrame(df.select("e", F.col("v").alias("v0"), W))
+                return ZFrame(df.select("e", F.col("v").alias("v0"), T, W))
 
             frame = compile_query(self.query, AttributeCatalog(), override=state)
             parts.append(aggregate_delta(self.query, frame) if self.query.aggregates else frame.df)
@@ -103,12 +140,12 @@ class View:
         return self._merged(total)
 
     def _merged(self, rows: DataFrame) -> DataFrame:
-        """Rows of several changes added up; what cancels out goes."""
+        """Rows of several changes added up, by time where they have one; what cancels out goes."""
         if not self.query.aggregates:
             return ZFrame(rows).consolidate().df
-        keys = list(dict.fromkeys(self.query.plain))
+        keys = [*dict.fromkeys(self.query.plain), *([T] if T in rows.columns else [])]
         values = [c for c in rows.columns if c not in keys]
-        summed = rows.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+        summed = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[F.sum(F.col(f"`{v}`")).alias(v) for v in values])
         return summed.where(" or ".join(f"`{v}` <> 0" for v in values))
 
     def apply(self, changes: DataFrame | Iterable[Datom], tx: int | None = None) -> dict[str, object]:
@@ -116,7 +153,7 @@ class View:
 
         A transaction that was applied before is skipped, so a repeated delivery does no harm. Returns its statistics.
         """
-        began, known = time.time(), self.history_index()
+        known = self.history_index()
         tx = (known[-1] + 1 if known else 1) if tx is None else tx
         if tx in known:
             return {"tx": tx, "skipped": True}
@@ -124,49 +161,76 @@ class View:
             raise ValueError(f"transaction {tx} comes after {known[-1]}")
         if not isinstance(changes, DataFrame):
             changes = datoms(self.spark, [(tx, changes)])
-        changes = changes.select(*[F.col(c) if c in changes.columns else F.lit(tx).cast("long").alias(c) for c in ("tx", "e", "a", "v", "w")])
-        touched: dict[str, DataFrame] = {}
-        changes = changes.where(F.col("a").isin(self.used)).persist()
+        return self._applied(changes.withColumn("tx", F.lit(tx).cast("long")), f"t{tx}", [tx], None)
+
+    def replay(self, changes: DataFrame, start: int | None = None, end: int | None = None) -> dict[str, object]:
+        """Apply all transactions of a datom log (tx, e, a, v, w) from ``start`` up to ``end``, as one batch; applied ones are skipped."""
+        known = self.history_index()
+        wanted = changes if start is None else changes.where(F.col("tx") >= start)
+        wanted = wanted if end is None else wanted.where(F.col("tx") < end)
+        times = sorted(set(r.tx for r in wanted.select("tx").distinct().collect()) - set(known))
+        if not times:
+            return {"tx": known[-1] if known else None, "skipped": True}
+        if known and times[0] < known[-1]:
+            raise ValueError(f"transaction {times[0]} comes after {known[-1]}")
+        return self._applied(wanted.where(F.col("tx") > known[-1]) if known else wanted, f"t{times[-1]}", times, None)
+
+    def apply_batch(self, changes: DataFrame, batch: int) -> dict[str, object]:
+        """Apply a stream's micro-batch: rows with a ``tx`` keep it, the others are transaction ``batch + 1``.
+
+        A batch that was applied before is skipped. A transaction may be spread over batches, and late rows amend history at their time.
+        """
+        if any(f"s{batch}" in x.streams for x in self._done(self._root()).values()):
+            return {"tx": None, "skipped": True}
+        own = F.lit(batch + 1).cast("long")
+        changes = changes.withColumn("tx", F.coalesce(F.col("tx").cast("long"), own) if "tx" in changes.columns else own).persist()
         try:
-            for name in [r.a for r in changes.select("a").distinct().collect()]:
-                part = ZFrame(attribute(changes, name, self.schema[name]).select("e", "v", W).where("v is not null")).consolidate()
-                folder = f"{self._folder(name)}/tx={tx}"
-                part.df.write.mode("overwrite").parquet(folder)
-                touched[name] = self.spark.read.schema(f"e long, v {self.schema[name]}, w long").parquet(folder)
-                if self.validate:
-                    bad = ZFrame(self.attribute(name, tx).unionByName(touched[name])).consolidate().df.where("w < 0")
-                    if bad.limit(1).count():
-                        delete(self.spark, folder)
-                        raise ValueError(f"transaction {tx} retracts what :{name} does not hold")
-            if touched:
-                self._delta(touched, tx).write.mode("overwrite").parquet(f"{self.path}/result/tx={tx}")
+            times = sorted(r.tx for r in changes.select("tx").distinct().collect())
+            return self._applied(changes, f"s{batch}", times or [batch + 1], batch)
         finally:
             changes.unpersist()
-        self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done/{tx}").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(
-            self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done/{tx}")
-        )
-        if not self.keep_history and len(known) >= 16:
+
+    def _applied(self, changes: DataFrame, batch: str, times: list[int], stream: int | None) -> dict[str, object]:
+        began, root = time.time(), self._root()
+        done = self._done(root)
+        # One pass writes the changes by attribute; what is left of a batch that did not end is overwritten.
+        rows = changes.where(F.col("a").isin(self.used) & F.col("v").isNotNull()).groupBy("a", "e", "v", "tx").agg(F.sum("w").alias(W)).where(f"{W} <> 0")
+        position = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(self.used) for x in (n, i)]), F.col("a"))
+        rows.select("e", "v", W, F.col("tx").alias(T), position.alias("i")).write.mode("overwrite").partitionBy("i").parquet(f"{root}/log/{batch}")
+        there = names(self.spark, f"{root}/log/{batch}")
+        touched = {n: self._rows(root, n, [batch]) for i, n in enumerate(self.used) if f"i={i}" in there}
+        before = {n: self._log(root, n, done) for n in self.used} if touched else {}
+        if self.validate:
+            for name, part in touched.items():
+                self._check(name, before[name].unionByName(part), f"{root}/log/{batch}")
+        if touched:
+            self._delta(touched, before).write.mode("overwrite").parquet(f"{root}/result/{batch}")
+        marks = times, [] if stream is None else [f"s{stream}"], [self.used.index(n) for n in touched]
+        write_text(self.spark, f"{root}/done/{batch}", "\n".join(",".join(map(str, m)) for m in marks))
+        if not self.keep_history and len(done) >= 16:
             self.compact()
-        self.stats = {"transactions": int(self.stats["transactions"]) + 1, "last_tx": tx, "last_ms": round(1000 * (time.time() - began)), "attributes": sorted(touched)}
-        return {"tx": tx, "skipped": False, "ms": self.stats["last_ms"]}
+        self.stats = {"transactions": int(self.stats["transactions"]) + len(times), "last_tx": times[-1], "last_ms": round(1000 * (time.time() - began)), "attributes": sorted(touched)}
+        return {"tx": times[-1], "skipped": False, "ms": self.stats["last_ms"]}
 
-    def replay(self, changes: DataFrame, start: int | None = None, end: int | None = None) -> None:
-        """Apply the transactions of a datom log (tx, e, a, v, w) in order, from ``start`` up to ``end``."""
-        for (tx,) in changes.select("tx").distinct().orderBy("tx").collect():
-            if (start is None or tx >= start) and (end is None or tx < end):
-                self.apply(changes.where(F.col("tx") == tx), tx)
+    def _check(self, name: str, rows: DataFrame, batch: str) -> None:
+        """Refuse a batch after any of whose transactions some (e, v) is there less than not at all."""
+        upto = Window.partitionBy("e", "v").orderBy(T)
+        if rows.withColumn("_sum", F.sum(W).over(upto)).where("_sum < 0").limit(1).count():
+            delete(self.spark, batch)
+            raise ValueError(f"{batch} retracts what :{name} does not hold")
 
     def changes(self, upto: int | None = None) -> DataFrame:
-        """The result's change log as rows with weights (or sums), not added up."""
-        found = self._log(f"{self.path}/result", self._result_schema, upto, True)
-        return self.spark.createDataFrame([], self._result_schema) if found is None else found
+        """The result's change log as rows with weights (or sums) and times, not added up."""
+        root = self._root()
+        return self._results(root, self._done(root), upto)
 
     def _read(self, rows: DataFrame) -> DataFrame:
+        rows = rows.drop(T)
         if not self.query.aggregates:
             return read_out(self.query, ZFrame(rows))
-        names = [f.name if isinstance(f, Var) else c for f, c in zip(self.query.find, self.query.columns(), strict=True)]
+        named = [f.name if isinstance(f, Var) else c for f, c in zip(self.query.find, self.query.columns(), strict=True)]
         merged = self._merged(rows).where("_cnt <> 0")
-        return merged.select(*[F.col(n).alias(c) for n, c in zip(names, self.query.columns(), strict=True)])
+        return merged.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(named, self.query.columns(), strict=True)])
 
     def result(self) -> DataFrame:
         return self._read(self.changes())
@@ -180,22 +244,30 @@ class View:
         return self._read(self.changes(tx))
 
     def compact(self) -> None:
-        """Merge all logs into their last transaction: less to read, but no history before it."""
-        known = self.history_index()
-        if len(known) < 2:
+        """Merge all logs into their last transaction: less to read, but no history before it.
+
+        The merged logs are a new generation. It holds from the moment it is published, so a crash before that changes nothing and
+        one after it leaves only folders that nobody reads, which the next call removes.
+        """
+        now = self._generation()
+        root, new = f"{self.path}/g{now}", f"{self.path}/g{now + 1}"
+        done = self._done(root)
+        for old in names(self.spark, self.path):
+            if old.startswith("g") and old[1:].isdigit() and int(old[1:]) != now:
+                delete(self.spark, f"{self.path}/{old}")
+        if len(done) < 2:
             return
-        last = known[-1]
-        for folder, ddl, merge in [(f"{self.path}/result", self._result_schema, self._merged)] + [(self._folder(n), f"e long, v {self.schema[n]}, w long", lambda d: ZFrame(d).consolidate().df) for n in self.used]:
-            rows = self._log(folder, ddl, None, True)
-            if rows is not None:
-                merge(rows).write.mode("overwrite").parquet(f"{folder}/merged")
-                for t in known:
-                    delete(self.spark, f"{folder}/tx={t}")
-                fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-                fs.rename(path(f"{folder}/merged"), path(f"{folder}/tx={last}"))
-        for t in known[:-1]:
-            delete(self.spark, f"{self.path}/done/{t}")
+        last = max(t for x in done.values() for t in x.times)
+        streams = sorted({s for x in done.values() for s in x.streams}, key=lambda x: int(x[1:]))[-1:]
+        touched, time = sorted({i for x in done.values() for i in x.touched}), F.lit(last).cast("long").alias(T)
+        for i in touched:
+            rows = ZFrame(self._log(root, self.used[i], done).drop(T)).consolidate().df
+            rows.select("e", F.col("v").cast("string").alias("v"), W, time).write.mode("overwrite").parquet(f"{new}/log/m{last}/i={i}")
+        merged = self._merged(self._results(root, done).drop(T))
+        merged.withColumn(T, time).select(*[f"`{c}`" for c in self._result_schema.names]).write.mode("overwrite").parquet(f"{new}/result/m{last}")
+        write_text(self.spark, f"{new}/done/m{last}", "\n".join([str(last), ",".join(streams), ",".join(map(str, touched))]))
+        write_text(self.spark, f"{self.path}/published/{now + 1}", "")
+        delete(self.spark, root)
 
     def progress(self) -> str:
         return json.dumps(self.stats)
