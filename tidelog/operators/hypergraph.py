@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .utility import numbered
+
 
 class Hypergraph:
     """Immutable: every change is a new graph over lazily derived frames. ``vertices`` has those without an edge too."""
@@ -23,9 +25,7 @@ class Hypergraph:
         """One edge for each distinct non-empty set in array column ``vertices``; ids 0, 1, … by the sets' smallest ``order``."""
         canon = sets.select(F.array_sort(F.array_distinct(F.filter(vertices, lambda v: v.isNotNull()))).alias("s"), F.col(order).alias("o")).where(F.size("s") > 0)
         first = canon.groupBy("s").agg(F.min("o").alias("o"))
-        # Ids are the only step that needs one order over all edges, of one row each.
-        numbered = first.withColumn("edge_id", (F.row_number().over(Window.orderBy("o", "s")) - 1).cast("long"))
-        return cls(numbered.select("edge_id", F.explode("s").alias("vertex")))
+        return cls(numbered(first, "o", "s", name="edge_id").select("edge_id", F.explode("s").alias("vertex")))
 
     def add_vertex(self, vertex: object) -> Hypergraph:
         more = self.vertices.sparkSession.createDataFrame([(vertex,)], self.vertices.schema)

@@ -121,8 +121,8 @@ class ZFrame:
     # Indexed Z-sets: grouping by a key
 
     def index(self, *keys: str) -> ZFrame:
-        """Rows of a key together in one partition; rows with a null key are in no group and go."""
-        return ZFrame(self.df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).repartition(*keys), self.unit)
+        """Rows that have a key; those with a null in it are in no group and go. Where rows of a key meet is left to what follows, so a hot key is no task of its own."""
+        return ZFrame(self.df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), self.unit)
 
     def indexed_plus(self, other: ZFrame) -> ZFrame:
         return self.plus(other)

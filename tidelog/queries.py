@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import QueryError
+from .functions.predicates import register_predicate
 from .operators import joins, pull, utility
 from .operators.hypergraph import Hypergraph
 from .operators.zframe import W, ZFrame
@@ -138,11 +140,34 @@ def zset_negate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _users(spark, sf_dir).negate().consolidate().df
 
 
-@_query("zset_inverse", "SELECT user_id, 0::BIGINT AS w FROM events WHERE false")
+@_query("zset_inverse", "SELECT c_custkey AS user_id, 1::BIGINT AS w FROM customer")
 def zset_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """z + (-z) is empty."""
+    """z + (-z) is empty: what is added to it stays alone."""
     z = _users(spark, sf_dir)
-    return z.plus(z.negate()).df
+    return z.plus(z.negate(), ZFrame(_table(spark, sf_dir, "customer").selectExpr("c_custkey as user_id"))).df
+
+
+_LAWS = f"(SELECT user_id AS k, {_SIGN} AS w FROM events)"
+
+
+@_query("zset_laws", f"SELECT law, CASE law WHEN 'commutes' THEN (SELECT count(*) FROM (SELECT k FROM (SELECT * FROM {_LAWS} UNION ALL SELECT c_custkey, 1 FROM customer) GROUP BY k HAVING sum(w) <> 0)) WHEN 'associates' THEN (SELECT count(*) FROM (SELECT k FROM (SELECT * FROM {_LAWS} UNION ALL SELECT c_custkey, 1 FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier) GROUP BY k HAVING sum(w) <> 0)) ELSE (SELECT count(*) FROM (SELECT a.k FROM (SELECT * FROM {_LAWS} UNION ALL SELECT c_custkey, 1 FROM customer) a JOIN supplier ON k = s_suppkey GROUP BY a.k HAVING sum(w) <> 0)) END::BIGINT AS n, 0::BIGINT AS differ FROM (SELECT unnest(['commutes', 'associates', 'distributes']) AS law)")
+def zset_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laws over the tables: rows of one side, and rows in which the sides differ."""
+    a = _users(spark, sf_dir).select(F.col("user_id").alias("k"))
+    b, c = ZFrame(_table(spark, sf_dir, "customer").selectExpr("c_custkey as k")), ZFrame(_table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k"))
+    sides = {
+        "commutes": (a.plus(b), b.plus(a)),
+        "associates": (a.plus(b).plus(c), a.plus(b.plus(c))),
+        "distributes": (a.plus(b).indexed_times(c, ["k"]).consolidate(), a.indexed_times(c, ["k"]).plus(b.indexed_times(c, ["k"]))),
+    }
+    rows = [x.df.agg(F.count("*").alias("n")).crossJoin(x.minus(y).df.agg(F.count("*").alias("differ"))).select(F.lit(law).alias("law"), "n", "differ") for law, (x, y) in sides.items()]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@_query("zset_indexed_pos_plus", f"SELECT user_id, event_type, CAST(sum(w) AS BIGINT) AS w FROM (SELECT user_id, event_type, {_SIGN} AS w FROM events UNION ALL SELECT c_custkey, 'error', 2 FROM customer) GROUP BY ALL HAVING sum(w) > 0")
+def zset_indexed_pos_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _signed_events(spark, sf_dir).select("user_id", "event_type").index("user_id")
+    return z.indexed_pos_plus(ZFrame(_table(spark, sf_dir, "customer").selectExpr("c_custkey as user_id", "'error' as event_type", "2L as w"))).df
 
 
 @_query("zset_times", f"SELECT event_type, r_name, CAST(sum({_SIGN}) AS BIGINT) AS w FROM events, region GROUP BY ALL HAVING sum({_SIGN}) <> 0")
@@ -290,7 +315,7 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.as_of(2)
 
 
-@_query("history_index", "SELECT unnest([1, 2, 3, 4])::BIGINT AS tx")
+@_query("history_index", "SELECT DISTINCT (c_custkey % 3 + 1)::BIGINT AS tx FROM customer UNION SELECT 2 FROM nation UNION SELECT 4 FROM customer WHERE c_custkey % 7 = 0")
 def history_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = _view(spark, "[:find ?s (count ?c) :where [?c :customer/segment ?s]]")
     view.replay(_changes(spark, sf_dir))
@@ -314,7 +339,7 @@ def cdc_log_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.log_range(_changes(spark, sf_dir), 1, 3).groupBy("tx").agg(F.count("*").alias("n"))
 
 
-@_query("all_transactions", "SELECT unnest([1, 2, 3, 4])::BIGINT AS tx")
+@_query("all_transactions", "SELECT DISTINCT (c_custkey % 3 + 1)::BIGINT AS tx FROM customer UNION SELECT 2 FROM nation UNION SELECT 4 FROM customer WHERE c_custkey % 7 = 0")
 def all_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.all_transactions(_changes(spark, sf_dir))
 
@@ -451,6 +476,173 @@ def key_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utility.key_intersection(*(z.df for z in _keys(spark, sf_dir)), "k")
 
 
+# Streams, registry, imports and errors
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, batches: int) -> tuple[str, View]:
+    """Events as a folder of datom files, event e in transaction e % 4 + 1, and a view of their types."""
+    path = shared_dir(spark, "stream")
+    delete_at_exit(spark, path)
+    events = _table(spark, sf_dir, "events").selectExpr("*", "event_id % 4 + 1 as tx")
+    D.unpivot(events, "event_id", {"event_type": "event/type"}, "tx").repartition(batches).write.parquet(f"{path}/in")
+    return path, View(spark, "[:find ?t (count ?e) :where [?e :event/type ?t]]", {"event/type": "string"}, f"{path}/view")
+
+
+@_query("stream_as_of", "SELECT event_type AS t, count(*)::BIGINT AS count_e FROM events WHERE event_id % 4 + 1 <= 2 GROUP BY event_type")
+def stream_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions that are spread over micro-batches, read as of the second one."""
+    path, view = _event_stream(spark, sf_dir, 2)
+    S.maintain(view, S.read_datoms(spark, f"{path}/in", files_per_batch=1), f"{path}/checkpoint").awaitTermination()
+    return view.as_of(2)
+
+
+@_query("registry_served", "SELECT event_type AS t, count(*)::BIGINT AS count_e FROM events GROUP BY event_type")
+def registry_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named view that a stream keeps up to date, read by SQL after the stream was stopped."""
+    path, view = _event_stream(spark, sf_dir, 1)
+    registry, name = S.Registry(spark), "served_" + path.rsplit("-", 1)[-1]
+    registry.sync(name, view, S.read_datoms(spark, f"{path}/in"), f"{path}/checkpoint")
+    registry.running[name].awaitTermination()
+    registry.stop(name)
+    registry.serve(name)
+    return spark.sql(f"SELECT t, count_e FROM {name}")
+
+
+@_query("registry_status", "SELECT 'types' AS name, count(DISTINCT event_id % 4)::BIGINT AS transactions, count(*)::BIGINT AS input_rows, false AS active FROM events")
+def registry_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the registry says of a stream that has ended."""
+    path, view = _event_stream(spark, sf_dir, 1)
+    registry = S.Registry(spark)
+    registry.sync("types", view, S.read_datoms(spark, f"{path}/in"), f"{path}/checkpoint")
+    registry.running["types"].awaitTermination()
+    status = registry.status()["types"]
+    return spark.createDataFrame([("types", int(status["transactions"]), int(status["progress"]["numInputRows"]), status["active"])], "name string, transactions long, input_rows long, active boolean")
+
+
+@_query("stream_progress", "SELECT count(*)::BIGINT AS n FROM events")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that progress reports count, batch by batch."""
+    path, view = _event_stream(spark, sf_dir, 2)
+    seen: dict[int, int] = {}
+    running = S.maintain(view, S.read_datoms(spark, f"{path}/in", files_per_batch=1), f"{path}/checkpoint")
+    running.awaitTermination()
+    for report in running.recentProgress:
+        seen[report["batchId"]] = report["numInputRows"]
+    return spark.createDataFrame([(sum(seen.values()),)], "n long")
+
+
+@_query("stream_intake_late", "SELECT date_trunc('hour', ts) AS start, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def stream_intake_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows of a stream whose watermark lets all rows in, as the last batch left them."""
+    path = shared_dir(spark, "intake")
+    delete_at_exit(spark, path)
+    name = "intake_" + path.rsplit("-", 1)[-1]
+    events = _table(spark, sf_dir, "events")
+    events.repartition(2).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    hours = S.intake(stream.withColumn("ts", F.col("ts").cast("timestamp")), length="1 hour", late="4000 days")
+    hours.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@_query("edn_import", "SELECT 5::BIGINT AS tx, n_nationkey::BIGINT AS e, 'nation/name' AS a, n_name AS v, 1::BIGINT AS w FROM nation UNION ALL SELECT 1, r_regionkey, 'region/name', r_name, 1 FROM region")
+def edn_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as datom vectors and regions as entity maps, through EDN files."""
+    path = shared_dir(spark, "edn")
+    delete_at_exit(spark, path)
+    _table(spark, sf_dir, "nation").selectExpr("concat('[', n_nationkey, ' :nation/name \"', n_name, '\" 5 true]') as value").write.text(f"{path}/lines")
+    _table(spark, sf_dir, "region").selectExpr("concat('{:db/id ', r_regionkey, '\\n :region/name \"', r_name, '\"}') as value").coalesce(1).write.text(f"{path}/whole")
+    return D.read_edn(spark, f"{path}/lines", lines=True).union(D.read_edn(spark, f"{path}/whole"))
+
+
+_REJECTED = {
+    "no pattern": "[:find ?x :where [(< 1 2)]]",
+    "unbound in find": "[:find ?y :where [?x :nation/name ?n]]",
+    "unbound in predicate": "[:find ?x :where [?x :nation/name ?n] [(< ?z 2)]]",
+    "unknown attribute": "[:find ?x :where [?x :nation/color ?n]]",
+    "unknown operator": "[:find ?x :where [?x :nation/name ?n] [(near ?n 2)]]",
+    "four places": "[:find ?x :where [?x :nation/name ?n 1]]",
+    "collection": "[:find ?x :where [?x :nation/name #{1}]]",
+    "number and text": '[:find ?x :where [?x :nation/key ?n] [(< ?n "b")]]',
+}
+
+
+@_query("rejected_queries", "SELECT * FROM (VALUES ('no pattern', 'UnsupportedQueryError'), ('unbound in find', 'UnboundVariableError'), ('unbound in predicate', 'UnboundVariableError'), ('unknown attribute', 'UnknownAttributeError'), ('unknown operator', 'UnsupportedQueryError'), ('four places', 'UnsupportedQueryError'), ('collection', 'UnsupportedQueryError'), ('number and text', 'TypeMismatchError')) t(query, error)")
+def rejected_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that wrong queries are refused with, before anything runs."""
+    out = []
+    for name, query in _REJECTED.items():
+        try:
+            run_query(query, supplied_catalog(spark, sf_dir))
+            out.append((name, "none"))
+        except (QueryError, TypeError, LookupError, ValueError) as e:
+            out.append((name, type(e).__name__))
+    return spark.createDataFrame(out, "query string, error string")
+
+
+@_query("custom_predicate", "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal BETWEEN 100 AND 900 AND starts_with(c_mktsegment, 'B')")
+def custom_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_predicate("between?", lambda args: args[0].between(args[1], args[2]))
+    register_predicate("starts?", lambda args: args[0].startswith(args[1]))
+    return run_query('[:find ?k :where [?c :customer/key ?k] [?c :customer/acctbal ?b] [?c :customer/mktsegment ?m] [(between? ?b 100 900)] [(starts? ?m "B")]]', supplied_catalog(spark, sf_dir))
+
+
+_JOINS = {
+    "entity and entity": "[:find (count ?a) :where [?x :customer/key ?a] [?x :customer/nation ?b]]",
+    "value and entity": "[:find (count ?x) :where [?x :customer/nation ?n] [?n :nation/name ?b]]",
+    "value and value": "[:find (count ?x) :where [?x :customer/nation ?n] [?y :supplier/nation ?n]]",
+    "nothing shared": "[:find (count ?x) :where [?x :region/name ?n] [?y :nation/name ?m]]",
+}
+
+
+@_query("join_kinds", "SELECT 'entity and entity' AS kind, count(*)::BIGINT AS n FROM customer UNION ALL SELECT 'value and entity', count(*) FROM customer UNION ALL SELECT 'value and value', count(*) FROM customer JOIN supplier ON c_nationkey = s_nationkey UNION ALL SELECT 'nothing shared', count(*) FROM region, nation")
+def join_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How patterns join, by the places of the variable that they share."""
+    parts = [run_query(q, supplied_catalog(spark, sf_dir)).toDF("n").select(F.lit(k).alias("kind"), "n") for k, q in _JOINS.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+_datalog("join_empty_side", '[:find ?r (count ?c) :where [?c :customer/nation ?n] [?n :nation/region ?x] [?x :region/name ?r] [?s :supplier/nation ?n] [?s :supplier/name "Nobody"]]',
+         "SELECT r_name AS r, count(*)::BIGINT AS count_c FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_name = 'Nobody' GROUP BY r_name")
+_datalog("path_by_name", "[:find ?r ?n ?k :where [?c :customer/key ?k] [?c :customer/nation ?x] [?x :nation/region ?y] [?y :region/name ?r] [?x :nation/name ?n] [(< ?k 50)]]",
+         "SELECT r_name AS r, n_name AS n, c_custkey AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 50")
+_datalog("variable_named_w", "[:find ?w (count ?t) :where [?t :customer/mktsegment ?w]]", "SELECT c_mktsegment AS w, count(*)::BIGINT AS count_t FROM customer GROUP BY c_mktsegment")
+
+
+@_query("pull_wildcard", "SELECT r_name, r_regionkey, string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL")
+def pull_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``r_*`` and ``n_*`` expand against the columns."""
+    flat = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nested = pull.pull(flat, ["r_*", {"nations": ["n_*"]}])
+    return nested.select("r_name", "r_regionkey", F.array_join(F.transform("nations", lambda x: F.concat_ws(":", x.n_nationkey, x.n_name)), ",").alias("nations"))
+
+
+@_query("pull_transforms", "SELECT upper(r_name) AS r_name, string_agg(n_name, ',' ORDER BY n_name) AS names FROM region JOIN nation ON r_regionkey = n_regionkey AND n_nationkey % 2 = 0 WHERE r_regionkey < 3 GROUP BY ALL")
+def pull_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are changed and dropped before each level nests."""
+    flat = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    changes = {"": lambda d: d.where("r_regionkey < 3").withColumn("r_name", F.upper("r_name")), "nations": lambda d: d.where("n_nationkey % 2 = 0")}
+    return pull.pull(flat, ["r_name", {"nations": ["n_name"]}], changes).select("r_name", F.array_join(F.transform("nations", lambda x: x.n_name), ",").alias("names"))
+
+
+@_query("hypergraph_remove_edge", "SELECT s_suppkey AS vertex FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey <> 7)")
+def hypergraph_remove_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without order 7, and without suppliers that only it had."""
+    return _baskets(spark, sf_dir).remove_hyperedge(7).vertices
+
+
+@_query("hypergraph_add", "SELECT l_suppkey AS vertex, count(DISTINCT l_orderkey)::BIGINT + CASE WHEN l_suppkey IN (1, 2) THEN 1 ELSE 0 END AS edges FROM lineitem GROUP BY l_suppkey UNION ALL SELECT -5, 1 UNION ALL SELECT -6, 0")
+def hypergraph_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One more edge over two suppliers and a new vertex, and a vertex without an edge."""
+    graph = _baskets(spark, sf_dir).add_hyperedge(1, 2, -5).add_vertex(-6)
+    return graph.vertices.join(graph.incidence, "vertex", "left").groupBy("vertex").agg(F.count("edge_id").alias("edges"))
+
+
+@_query("take_last", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 25")
+def take_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return utility.take_last(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 25, "o_orderkey")
+
+
 #: What bench.py times.
 HEADLINE = ["join_ref_chain", "const_value", "join_shared_value", "join_multi_var", "sum_by", "multi_agg", "bag_agg_through_join", "shipping_priority", "agg_retraction", "zset_indexed_times", "ext_not", "intake_per_second", "incremental_join", "incremental_agg", "as_of", "hypergraph_neighbors"]
 __all__ = ["HEADLINE", "ORACLES", "QUERIES", "AttributeCatalog"]

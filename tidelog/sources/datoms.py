@@ -28,12 +28,8 @@ def datoms(spark: SparkSession, transactions: Iterable[tuple[int, Iterable[Datom
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def read_edn(spark: SparkSession, path: str) -> DataFrame:
-    """Entity maps ``{:db/id e, :attr v-or-many}`` and datom vectors ``[e a v tx added]`` of an EDN file that fits the driver.
-
-    Maps are one transaction (tx 1). A vector or set value is one datom for each item.
-    """
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+def _rows(text: str) -> list[tuple]:
+    """Datoms of the forms in a text."""
     rows: list[tuple] = []
 
     def walk(form: object) -> None:
@@ -51,7 +47,25 @@ def read_edn(spark: SparkSession, path: str) -> DataFrame:
 
     for form in read_all(text):
         walk(form)
-    return spark.createDataFrame(rows, SCHEMA)
+    return rows
+
+
+def read_edn(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entity maps ``{:db/id e, :attr v-or-many}`` and datom vectors ``[e a v tx added]`` of EDN files.
+
+    Maps are one transaction (tx 1). A vector or set value is one datom for each item. A form may span lines, so
+    a file is read whole, one file a task at a time; with ``lines`` every line holds whole forms and files of any size are split.
+    """
+    text = spark.read.text(path, wholetext=not lines)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for value in batch["value"]:
+                yield pd.DataFrame(_rows(value), columns=["tx", "e", "a", "v", "w"])
+
+    return text.mapInPandas(run, SCHEMA)
 
 
 def unpivot(df: DataFrame, entity: str, columns: dict[str, str], tx: str | None = None) -> DataFrame:
