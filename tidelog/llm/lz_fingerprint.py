@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .text import frugal
+
 SIZE = 128
 #: Rows of a range of doc_ids that one task walks through.
 ROWS_PER_RANGE = 4_000
@@ -169,4 +171,4 @@ def fingerprint(docs: DataFrame, size: int = SIZE, rows_per_range: int = ROWS_PE
     kinds = to_arrow_schema(StructType.fromDDL(SCHEMA))
     spread = docs.select("doc_id", "text", key).select("doc_id", "text", "_key", F.posexplode(parts_of("_key")).alias("_ahead", "_part"))
     spread = spread.repartitionById(len(starts), "_part").sortWithinPartitions("_part", "_ahead", "_key", "text")
-    return spread.select("_part", "_ahead", "doc_id", "text").mapInArrow(lambda batches: _walk(batches, kinds, size), SCHEMA)
+    return spread.select("_part", "_ahead", "doc_id", "text").mapInArrow(frugal(lambda batches: _walk(batches, kinds, size)), SCHEMA)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .storage import remove, written
-from .text import LOWER, map_rows, raw_texts
+from .text import LOWER, frugal, map_rows, raw_texts
 
 SHINGLE, MAX_DISTANCE, SEED = 4, 4, 42
 #: Fingerprints in a bucket that one task compares at once; larger buckets are cut into blocks of this size.
@@ -121,14 +121,14 @@ def _forests(rows: DataFrame, masks: np.ndarray, d: int) -> DataFrame:
         if kept:
             yield out(solved(np.concatenate(kept)))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(frugal(run), "a long, b long")
 
 
-def links(prints: DataFrame, d: int = MAX_DISTANCE, block: int = BLOCK, m: int | None = None) -> DataFrame:
+def links(prints: DataFrame, d: int = MAX_DISTANCE, block: int = BLOCK, m: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``a, b``: edges between the distinct values of ``prints.fp`` that connect whatever ``d`` or fewer bits link.
 
     6 segments give 15 keys of 21 bits, 7 give 35 of 27, 8 give 70 of 32: so many that a key of random
-    fingerprints is shared by few. All choices give the same components.
+    fingerprints is shared by few. All choices give the same components. Also the table that the edges are read with.
     """
     n = prints.count()
     m = m or d + (2 if n <= 2**22 else 3 if n <= 2**28 else 4)
@@ -144,7 +144,7 @@ def links(prints: DataFrame, d: int = MAX_DISTANCE, block: int = BLOCK, m: int |
     rows = rows.withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.select("c", "k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.expr("if(x > y, 1, 0)").alias("side"), "fp")
     rows = rows.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j", "side", "fp")
-    return _forests(rows, np.array(masks, dtype=np.uint64), d).distinct()
+    return _forests(rows, np.array(masks, dtype=np.uint64), d).distinct(), shared
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -166,16 +166,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, d: int = MAX_DISTAN
     component_id is the smallest doc_id among all rows that links reach. Null and empty texts have
     fingerprint zero and link like any other. A null doc_id takes part, but gives no id to a component;
     a component of such rows alone has a null one. Repeated rows are copies: they share a
-    fingerprint, and only distinct fingerprints are compared. Candidates have no cap.
+    fingerprint, and only distinct fingerprints are compared. Candidates have no cap. Texts are read whole, however long. An
+    empty table gives an empty result.
     """
     prints = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), d, block, m))
+    edges, buckets = links(distinct.select("fp"), d, block, m)
+    roots = components(edges)
+    remove(buckets)
     # Only fingerprints that link to another one need a lookup; the root of the rest is the fingerprint itself.
-    linked = written(roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("least")), "roots")
-    linked = roots.join(linked, "root").select(F.col("node").alias("fp"), "least")
+    least = written(roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("least")), "roots")
+    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
     ids = written(distinct.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id")), "components")
-    remove(distinct)
+    for table in (distinct, least, roots):
+        remove(table)
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -188,6 +192,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("_leader"))
     # Rows per leading doc_id: more than one only where doc_ids repeat.
     counted = written(leaders.groupBy("_leader").agg(F.count("*").alias("_copies")), "leaders")
+    remove(found)
     kept = docs.join(counted, docs["doc_id"] == counted["_leader"]).select(*[docs[c] for c in docs.columns], "_copies")
     if counted.where("_copies > 1").limit(1).count():
         kept = kept.where("_copies = 1").unionByName(kept.where("_copies > 1").dropDuplicates(["doc_id"]))
