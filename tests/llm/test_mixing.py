@@ -1,70 +1,117 @@
 import random
+import time
 from fractions import Fraction
 
 import pytest
-from tidelog.llm.mixing import earliest_deadline_first, mix, plan, quotas
+from tidelog.llm import mixing
+from tidelog.llm.mixing import mix, plan, schedule
+
+
+def fluid(blocks, weights):
+    """Shares of each source at every slot, by walking from one end of a source to the next."""
+    left, t, now = [Fraction(b) for b in blocks], Fraction(0), [Fraction(0)] * len(blocks)
+    points = [(t, list(now))]
+    while any(left):
+        active = [i for i, x in enumerate(left) if x]
+        total = sum(Fraction(weights[i]) for i in active)
+        step = min(left[i] * total / Fraction(weights[i]) for i in active)
+        for i in active:
+            now[i] += step * Fraction(weights[i]) / total
+            left[i] -= step * Fraction(weights[i]) / total
+        t += step
+        points.append((t, list(now)))
+    at = 0
+    for slot in range(sum(blocks) + 1):
+        while at + 1 < len(points) - 1 and points[at + 1][0] < slot:
+            at += 1
+        (t0, a), (t1, b) = points[at], points[min(at + 1, len(points) - 1)]
+        part = (slot - t0) / (t1 - t0) if t1 > t0 else Fraction(0)
+        yield [x + (y - x) * part for x, y in zip(a, b, strict=True)]
+
+
+def worst(blocks, weights):
+    done, out = [0] * len(blocks), Fraction(0)
+    order = list(schedule(blocks, weights))
+    assert len(order) == sum(blocks)
+    for slot, shares in enumerate(fluid(blocks, weights)):
+        out = max(out, *(abs(d - x) for d, x in zip(done, shares, strict=True)))
+        if slot < len(order):
+            done[order[slot]] += 1
+    assert done == blocks
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_less_than_one_block_from_the_fluid_mix(seed):
+    rnd = random.Random(seed)
+    n = rnd.randint(1, 12)
+    blocks = [rnd.choice([0, 1, 2, 7, 60, 300]) for _ in range(n)]
+    blocks[0] = blocks[0] or 3
+    assert worst(blocks, [rnd.choice([1.0, 0.5, rnd.random() ** 3 + 0.001]) for _ in range(n)]) < 1
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_less_than_one_block_from_the_share(seed):
-    rnd = random.Random(seed)
-    weights = [rnd.random() ** 3 + 0.001 for _ in range(rnd.randint(1, 20))]
-    shares = quotas(weights, 512)
-    assert sum(shares) == 512 and min(shares) >= 1
-    order, done = earliest_deadline_first(shares, 512), [0] * len(shares)
-    for slot, s in enumerate(order):
-        release, due = done[s] * 512 // shares[s], -(-(done[s] + 1) * 512 // shares[s])
-        assert release <= slot < due
-        done[s] += 1
-        assert all(abs(d * 512 - k * (slot + 1)) < 512 for d, k in zip(done, shares, strict=True))
-    assert done == shares
+def test_exact_weights_over_a_long_mix():
+    assert worst([4_000, *[300] * 12], [n**0.5 for n in [4_000, *[300] * 12]]) < 1
+    assert worst([20, 3_000, 3_000], [0.0001, 0.6, 0.3999]) < 1
+    assert worst([10] * 200, [1 + i % 7 for i in range(200)]) < 1
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_every_block_once(seed):
     rnd = random.Random(seed)
     blocks = [rnd.choice([0, 1, 5, 300, 2000]) for _ in range(8)]
-    rows = plan(blocks, [rnd.random() + 0.01 for _ in blocks], 64)
-    slots, place = {}, {}
-    for s, _, first, end, share, period, start, inside in rows:
-        for b in range(first, end):
-            slot = start + (b - first) // share * period + inside[(b - first) % share]
-            assert slot not in slots and (s, b) not in place
-            slots[slot] = place[s, b] = slot
-    assert sorted(slots) == list(range(sum(blocks)))
-    assert all(place[s, b] < place[s, b + 1] for s, b in place if (s, b + 1) in place)
+    weights = [rnd.random() + 0.01 for _ in blocks]
+    order = {}
+    for s, group, slots in plan(blocks, weights, 64):
+        for k, slot in enumerate(slots):
+            assert slot not in order
+            order[slot] = s, 64 * group + k
+    used = [0] * 8
+    for slot, s in enumerate(schedule(blocks, weights)):
+        assert order[slot] == (s, used[s])
+        used[s] += 1
+    assert used == blocks
+
+
+def test_ten_thousand_sources():
+    rnd = random.Random(1)
+    blocks = [rnd.choice([1, 1, 2, 20]) for _ in range(10_000)]
+    began = time.process_time()
+    rows = plan(blocks, [b**0.5 for b in blocks])
+    assert time.process_time() - began < 10 and len(rows) == 10_000 and sum(len(x) for _, _, x in rows) == sum(blocks)
 
 
 def rows_of(n=500):
     rnd = random.Random(1)
     rows = [(i, f"t{i}", "en", rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(n)]
-    return rows + [(None, "x", None, "a"), (None, "x", None, "a"), (7, "t7", "en", "a"), (8, None, "en", "b")]
-
-
-def brute(rows, got):
-    """The mix by one plain pass: sources' documents in their order, slot after slot."""
-    blocks = {}
-    for r in sorted(got, key=lambda r: r.mix_pos):
-        blocks.setdefault(r.source, []).append(r)
-    names = sorted(blocks, key=lambda s: (s is not None, s or ""))
-    shares = plan([-(-len(blocks[s]) // 4) for s in names], [len(blocks[s]) ** 0.5 for s in names], 64)
-    order = {}
-    for s, _, first, end, share, period, start, inside in shares:
-        for b in range(first, end):
-            order[start + (b - first) // share * period + inside[(b - first) % share]] = (names[s], b)
-    return [(source, b, slot) for slot, (source, b) in sorted(order.items()) for _ in blocks[source][4 * b : 4 * b + 4]]
+    return rows + [(None, "x", None, "a"), (None, "x", None, "a"), (None, "y" * 300_000, None, "b"), (7, "t7", "en", "a"), (7, "other", "en", "a"), (8, None, "en", "b"), (8, "", "en", "b")]
 
 
 def test_frame(spark, docs_of, monkeypatch):
-    monkeypatch.setattr("tidelog.llm.mixing.BUCKET_ROWS", 40)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
     rows = rows_of()
-    frame = docs_of(rows).selectExpr("*", "1 as mix_slot", "2 as count")
-    got = mix(frame, block_docs=4, period=64).collect()
+    frame = docs_of(rows).selectExpr("*", "1 as mix_slot", "2 as count", "3 as _mix")
+    got = sorted(mix(frame, block_docs=4, period=16).collect(), key=lambda r: r.mix_pos)
     assert sorted(str((r.doc_id, r.text, r.source)) for r in got) == sorted(str((i, t, s)) for i, t, _, s in rows)
-    assert len({r.mix_pos for r in got}) == len(got)
-    assert [(r.source, r.mix_block, r.mix_slot) for r in sorted(got, key=lambda r: r.mix_pos)] == brute(rows, got)
-    again = mix(frame.repartition(3), block_docs=4, period=64).collect()
-    assert sorted(str((r.doc_id, r.mix_pos)) for r in got if r.doc_id not in (None, 7)) == sorted(str((r.doc_id, r.mix_pos)) for r in again if r.doc_id not in (None, 7))
+    # By one plain pass: the sizes alone give the sources of all places.
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is not None, s or ""))
+    sizes = [sum(r[3] == s for r in rows) for s in names]
+    want, used = [], [0] * len(names)
+    for slot, i in enumerate(schedule([-(-n // 4) for n in sizes], [n**0.5 for n in sizes])):
+        want += [(names[i], used[i], slot, 4 * slot + k) for k in range(min(4, sizes[i] - 4 * used[i]))]
+        used[i] += 1
+    assert [(r.source, r.mix_block, r.mix_slot, r.mix_pos) for r in got] == want
+    again = mix(frame.repartition(3), block_docs=4, period=16).collect()
+    assert sorted(str((r.doc_id, r.text, r.mix_pos)) for r in got) == sorted(str((r.doc_id, r.text, r.mix_pos)) for r in again)
+    # The order within a source is a shuffled one.
+    ids = [r.doc_id for r in got if r.source == "a" and r.doc_id is not None]
+    assert ids != sorted(ids) and abs(sum(ids[:80]) / 80 - 250) < 60
+
+
+def test_larger_blocks_where_the_plan_would_be_too_long(spark, docs_of):
+    rows = [(i, "t", None, "ab"[i % 2]) for i in range(300)]
+    got = mix(docs_of(rows), block_docs=1, max_blocks=30).collect()
+    assert sorted(r.mix_pos for r in got) == list(range(300)) and max(r.mix_slot for r in got) == 29
 
 
 def test_weights(spark, docs_of):
@@ -75,37 +122,8 @@ def test_weights(spark, docs_of):
     assert [r.mix_pos for r in mix(docs_of([(1, None)])).collect()] == [0]
 
 
-def deviations(rows, weights):
-    """Largest distance in blocks of each source from its exact share, within the segments."""
-    segments, worst = {}, [0] * len(weights)
-    for s, segment, first, end, share, period, _, slots in rows:
-        segments.setdefault(segment, {}).setdefault(s, []).extend((b - first) // share * period + slots[(b - first) % share] for b in range(first, end))
-    for found in segments.values():
-        total = sum(Fraction(weights[s]) for s in found) if len(found) == len(weights) else None
-        for s, slots in found.items() if total else ():
-            w = Fraction(weights[s]) / total
-            # Just before and just after a block is where a source is farthest from its share.
-            worst[s] = max(worst[s], *(max(abs(j - w * t), abs(j + 1 - w * (t + 1))) for j, t in enumerate(slots)))
-    return worst
-
-
-def test_exact_weights_over_many_periods():
-    sizes = [9_000, *[900] * 20]
-    weights = [n**0.5 for n in sizes]
-    rows = plan(sizes, weights, 64)
-    assert sum(sizes) > 400 * 64 and max(r[3] for r in rows if r[0] == 0 and r[1] == 0) > 64
-    assert max(deviations(rows, weights)) < 1
-    tiny = [0.0001, 0.6, 0.3999]
-    rows = plan([100, 30_000, 30_000], tiny)
-    assert max(deviations(rows, tiny)) < 1
-    assert sum(r[3] - r[2] for r in rows if r[:2] == (0, 0)) in (4, 5, 6)  # of 50,000 slots; a slot in each 4,096 would be 12
-    many = [1 + i % 7 for i in range(1_500)]
-    assert max(deviations(plan([40] * 1_500, many, 4_096), many)) < 1
-
-
 def test_plan_in_a_shuffle(spark, docs_of, monkeypatch):
-    rows = rows_of()
-    keys = lambda frame: sorted(str((r.doc_id, r.text, r.mix_pos)) for r in mix(frame, block_docs=1, period=16).collect() if r.doc_id not in (None, 7))
-    want = keys(docs_of(rows))
-    monkeypatch.setattr("tidelog.llm.mixing.MAX_BROADCAST_BLOCKS", 0)
-    assert keys(docs_of(rows)) == want
+    keys = lambda: sorted(str((r.doc_id, r.text, r.mix_pos)) for r in mix(docs_of(rows_of()), block_docs=1, period=16).collect())
+    want = keys()
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    assert keys() == want

@@ -22,7 +22,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix_block", "mix_segment", "mix_slot", "mix_pos")
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")).select("doc_id", "source", "mix_block", "mix_slot", "mix_pos")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
