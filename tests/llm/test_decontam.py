@@ -67,3 +67,21 @@ def test_removal(spark, docs_of):
     assert set(got) == {2, 3, 4, None}
     assert got[2].text == f"{filler} tail" and got[2].n_chars == len(got[2].text)
     assert got[3].text == filler and got[4].text is None and got[3].item_id == "k"
+
+
+@pytest.mark.parametrize("bound", [50_000, 3])
+def test_one_prompt_in_very_many_items(spark, docs_of, bound):
+    """Items of one text are one text; documents meet its contexts, not the items."""
+    prompt = " ".join(f"p{i}" for i in range(15))
+    items = spark.range(100_000).selectExpr("id as item_id", f"'{prompt}' as text")
+    docs = [(i, f"a{i} {prompt} b") for i in range(20)] + [(99, "clean " * 50)]
+    got = {r.doc_id: r for r in decontaminate(docs_of(docs), items, max_broadcast=bound).collect()}
+    sha = hashlib.sha256(",".join(sorted(map(str, range(100_000)))).encode()).hexdigest()
+    assert all((got[i].n_hit, got[i].n_items, got[i].items_sha256) == (15, 100_000, sha) for i in range(20)) and got[99].n_items == 0
+
+
+def test_long_text_and_clashing_columns(spark, docs_of):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = docs_of([(1, "x " * 300_000 + item), (2, item)]).selectExpr("*", "1 as _row", "2 as n_words", "'k' as hit", "3 as items")
+    got = {r.doc_id: r for r in decontaminate(docs, spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].contaminated, got[2].contaminated) == (300_020, 20, False, True)
