@@ -1,3 +1,7 @@
+import random
+import re
+
+import pytest
 from tidelog.llm.chat_quotes import link_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -108,3 +112,114 @@ def test_parts_in_a_hot_conversation(spark):
     got = [r for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect() if r.turn >= 300]
     # two parts of one sentence from the first message, and one from message i
     assert {(r.n_quotes, r.n_linked) for r in got} == {(5, 4)} and {r.parent_turn for r in got} == {0}
+
+
+def normal(text):
+    return re.sub(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", " ", text.lower()).strip(" ")
+
+
+def plain(messages):
+    """By loops over one conversation's messages (turn, text): (turn, text without quotes, n_quotes, n_linked, parent, thread, depth)."""
+    parsed = {}
+    for turn, text in messages:
+        lines = []
+        quoting = re.search(r"(?m)^[ \t]*>", text)
+        for line in re.sub("\r\n?", "\n", text).split("\n"):
+            marks = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+            lines.append([marks[1].count(">"), line[marks.end() :]] if marks else [0, line])
+        for i, (level, line) in enumerate(lines[:-1]):
+            if level == 0 and lines[i + 1][0] > 0 and re.search(r"(?i)(?:wrote|writes|said)[^:]{0,80}:[ \t]*$", line):
+                lines[i][0] = -1
+        runs = []
+        for level, line in lines:
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(line)
+        body = text
+        if quoting:
+            body = "\n".join(x for level, part in runs for x in part if level == 0)
+            body = re.sub(r"\n\s*\n\s*\n", "\n\n", body).strip()
+        parsed[turn] = runs, body, bool(quoting)
+    said, inside = {}, {}
+    for turn, (runs, body, quoting) in sorted(parsed.items()):
+        for part in [p for level, p in runs if level == 0] + ([body.split("\n")] if quoting else []):
+            for passage in [" ".join(part), *part]:
+                said.setdefault(normal(passage), turn)
+    out = {}
+    for turn, (runs, body, _) in parsed.items():
+        pieces = {}
+        for r, (level, part) in enumerate(runs):
+            if level > 0:
+                whole = "\n".join(part)
+                wide = [(x, False) for x in [whole, *re.split(r"\n[ \t]*\n", whole)]]
+                narrow = [(x, True) for x in [*part, *(y for x in part for y in re.split(r"(?<=[.!?])\s+", x))]]
+                for x, narrowly in wide + narrow:
+                    if n := normal(x):
+                        several, short = sum(bool(y.strip(" ")) for y in x.split("\n")) > 1, narrowly and len(n.split()) < 3
+                        old = pieces.get((level, n), (r, several, short))
+                        pieces[level, n] = min(old[0], r), min(old[1], several), min(old[2], short)
+        counts, weights = {}, {}
+        for (level, n), (r, several, short) in pieces.items():
+            own = said.get(n)
+            original, within = (own if own is not None and own < turn else None), False
+            if original is None:
+                if n not in inside:
+                    inside[n] = min((t for t, (_, b, _) in parsed.items() if f" {n} " in f" {normal(b)} "), default=None)
+                if inside[n] is not None and inside[n] < turn:
+                    original, within, short = inside[n], True, short or len(n.split()) < 3
+            c = counts.setdefault(r, [0, 0, 0, 0])
+            c[0] += 1
+            c[1] += original is not None and not within
+            c[2] += within and not several
+            c[3] += within and several
+            if level == 1 and original is not None:
+                weights.setdefault(original, [0, 0])[short] += len(n)
+        parent = max(weights, key=lambda o: (*weights[o], o), default=None)
+        out[turn] = body, sum(c[0] for c in counts.values()), sum(c[1] + c[2] + (c[3] if not c[1] else 0) for c in counts.values()), parent
+    rows = []
+    for turn, (body, n, linked, parent) in out.items():
+        thread, depth = turn, 0
+        while out[thread][3] is not None:
+            thread, depth = out[thread][3], depth + 1
+        rows.append((turn, body, n, linked, parent, thread, depth))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    vocabulary = [f"word{i}" for i in range(40)] + ["ok", "yes", "it's"]
+    sentence = lambda: " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([1, 2, 4, 9]))).capitalize() + rnd.choice([".", "!", "?"])
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(rnd.randint(1, 14)):
+            parts = []
+            for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+                if texts:
+                    source = rnd.choice(texts).split("\n")
+                    lo = rnd.randrange(len(source))
+                    chosen = source[lo : lo + rnd.randint(1, 5)]
+                    how = rnd.random()
+                    if how < 0.3:
+                        words = " ".join(chosen).split(" ")
+                        k = rnd.randrange(len(words))
+                        chosen = [" ".join(words[k : k + 6])] if not words[k].startswith(">") else ["nowhere said by anyone"]
+                    if rnd.random() < 0.3:
+                        parts.append(rnd.choice(["On Monday A wrote:", "b@c said:"]))
+                    parts.extend((">" if x.startswith(">") else "> ") + x for x in chosen)
+                parts.append("\n\n".join(" ".join(sentence() for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 2))))
+            texts.append("\n".join(parts) if parts else " ".join(sentence() for _ in range(rnd.randint(1, 4))))
+        rows += [(conv, turn, "user", text) for turn, text in enumerate(texts)]
+    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r.n_linked for r in got) > 20
+    for conv in range(12):
+        want = plain([(t, text) for c, t, _, text in rows if c == conv])
+        assert sorted((r.turn, r.text, r.n_quotes, r.n_linked, r.parent_turn, r.thread_turn, r.depth) for r in got if r.conv_id == conv) == want
+
+
+def test_long_text_and_empty_body(spark):
+    """A very long message, and one that is quotes of many levels and nothing else."""
+    rows = [(1, 0, "u", "word " * 200_000 + "the end of it all"), (1, 1, "u", "\n".join(">" * k + f" level {k} of it" for k in range(1, 40))), (1, 2, "u", "> the end of it all"), (1, 3, "u", ""), (1, 4, "u", None)]
+    got = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 5 and got[1].text == "" and got[1].n_quotes == 39 and got[2].parent_turn == 0 and got[4].text is None

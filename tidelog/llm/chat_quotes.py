@@ -105,19 +105,25 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     A passage repeated in a conversation has its first message as original; of parents that account for equally
     much the later one counts. A null conv_id or turn links nothing. Repeated (conv_id, turn)
-    rows are each returned and share their links. An empty table gives an empty result.
+    rows are each returned and share their links. Null and empty texts quote nothing; texts are read whole, however long. An
+    empty table gives an empty result.
     """
-    rows = parse(messages)
-    spoken = rows.where("conv_id is not null and turn is not null")
-    quotes = written(_quoted(spoken.where(F.col("text").rlike(_QUOTES)).where(F.exists("runs", lambda r: r.level > 0))), "quotes")
+    messages = messages.select("conv_id", "turn", "role", "text")
+    known = messages.where("conv_id is not null and turn is not null")
+    # A table of its own, as a filter on what is parsed would parse every message first.
+    quoters = written(known.where(F.col("text").rlike(_QUOTES)), "quoters")
+    quotes = written(_quoted(parse(quoters).where(F.exists("runs", lambda r: r.level > 0))), "quotes")
+    # Only conversations in which anything is quoted are normalised and hashed.
+    quoting = written(quotes.select("conv_id").distinct(), "quoting")
+    spoken = parse(known.join(quoting, "conv_id", "left_semi"))
     own = spoken.select("conv_id", "turn", F.explode(_passages(F.filter("runs", lambda r: r.level == 0))).alias("p"))
-    own = own.unionByName(spoken.where(F.exists("runs", lambda r: r.level > 0)).select("conv_id", "turn", F.explode(_passages(F.array(F.struct(F.lit(0).alias("level"), F.split("body", "\n").alias("lines"))))).alias("p")))
+    own = own.unionByName(parse(quoters).where(F.exists("runs", lambda r: r.level > 0)).select("conv_id", "turn", F.explode(_passages(F.array(F.struct(F.lit(0).alias("level"), F.split("body", "\n").alias("lines"))))).alias("p")))
     # The wanted passages are few; a first message is an aggregate, so a common passage needs no task of its own.
     wanted = quotes.select("conv_id", "hash", "sha").distinct()
     own = own.select("conv_id", "turn", "p.hash", "p.sha").join(wanted, ["conv_id", "hash", "sha"], "left_semi")
     originals = own.groupBy("conv_id", "hash", "sha").agg(F.min("turn").alias("original"))
     linked = quotes.join(originals, ["conv_id", "hash", "sha"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
-    linked = written(linked.withColumn("within", F.lit(False)), "linked")
+    linked = linked_table = written(linked.withColumn("within", F.lit(False)), "linked")
     missing = linked.where("original is null")
     if missing.limit(1).count():
         linked = linked.join(_inside(spoken, missing), ["conv_id", "hash", "sha"], "left").withColumn("within", F.expr("original is null and _within < turn"))
@@ -136,8 +142,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         parents = moved.drop("_moved")
         if moved.where("_moved").limit(1).count() == 0:
             break
-    found = counts.join(parents, ["conv_id", "turn"], "left")
-    out = rows.join(found, ["conv_id", "turn"], "left")
+    found = written(counts.join(parents, ["conv_id", "turn"], "left"), "replies")
+    for table in (quoters, quotes, quoting, linked_table, parents):
+        remove(table)
+    out = parse(messages).join(found, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", F.col("body").alias("text"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "parent_turn", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
