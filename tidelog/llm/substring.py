@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -37,6 +38,8 @@ from .text import SLICE_BYTES, frugal, slices
 WINDOW, GRAM = 13, 8
 #: Suffixes of a group at most: about 12 MB of words, 40 MB in a task.
 GROUP_SUFFIXES = 131_072
+#: Groups are taken in so many rounds, as the suffixes of all at once would be the largest shuffle of the job.
+ROUNDS = 2
 #: Lengths of prefixes in words, before the whole window.
 PREFIXES = (3,)
 #: Longer words stand in passages as a digest.
@@ -335,7 +338,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_suffi
     """
     passages, copies = _pruned(docs, window, gram, True)
     suffixes, hot, tables = _grouped(passages, window, window, group_suffixes)
-    marked = _marks(suffixes.where("_group is not null"), window)
+    rounds = [written(_marks(suffixes.where(f"pmod(_group, {ROUNDS}) = {i}"), window), f"marks-{i}") for i in range(ROUNDS)]
+    marked = reduce(DataFrame.unionByName, rounds)
+    tables += rounds
     if hot:
         common = written(suffixes.where("_group is null").drop("_group", "before"), "common")
         # No window has more leaves than there are here, so no part has many more than group_suffixes.
