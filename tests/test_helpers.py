@@ -89,3 +89,22 @@ def test_intake(spark):
     events = spark.createDataFrame([(i, at(s), n) for i, (s, n) in enumerate([(0, 1), (0.5, 2), (1.0, 4), (2.4, 8), (2.4, 16)])], "id long, ts timestamp_ntz, n long")
     assert [r.n for r in S.intake(events, n="n").orderBy("start").collect()] == [3, 4, 24]
     assert [r.n for r in S.sliding_intake(events).orderBy("id").collect()] == [1, 2, 2, 2, 2]
+
+
+def test_edn_import_where_workers_lack_the_package(tmp_path):
+    """In a session of its own, started elsewhere, so that workers don't find the package beside them."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tidelog.queries import QUERIES
+print("rows", QUERIES["edn_import"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 30" in out.stdout, out.stderr[-2000:]
