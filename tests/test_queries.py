@@ -147,6 +147,45 @@ def test_parts_without_needed_variables_are_one_row(spark):
     assert "Aggregate [sum(w" in plan.split("Join Cross")[1]
 
 
+def _suppliers(spark, path, n):
+    from tidelog.sources.catalog import AttributeCatalog
+
+    spark.range(n).selectExpr("id as k", "concat('Supplier#', id div 2) as name", "id div 2 % 2 as nation").coalesce(1).write.parquet(path)
+    return AttributeCatalog().add_table("supplier", spark.read.parquet(path), "k", {"name": "name", "nation": "nation"})
+
+
+def test_pairs_of_rows_that_meet_many(spark, tmp_path):
+    """Copies are one before they are paired, and the pairs of one small file are made in many tasks, which need no shuffle of pairs."""
+    query = "[:find ?a ?b :where [?x :supplier/nation ?n] [?y :supplier/nation ?n] [?x :supplier/name ?a] [?y :supplier/name ?b] [(distinct? ?a ?b)]]"
+    df = run_query(query, _suppliers(spark, str(tmp_path / "s"), 8000))
+    assert df.count() == 2 * 2000 * 1999
+    assert df.rdd.getNumPartitions() > 4
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("Join")[0]
+    assert plan.count("Aggregate") == 2 and "Exchange" not in plan
+
+
+def test_pairs_with_either_side_small_or_none(spark, tmp_path, monkeypatch):
+    from tidelog.plans import compiler
+
+    catalog = _suppliers(spark, str(tmp_path / "s"), 40)
+    query = "[:find ?a ?x :where [?x :supplier/nation ?n] [?y :supplier/nation ?n] [?y :supplier/name ?a]]"
+    want = rows(run_query(query, catalog))
+    assert len(want) == 40 * 10
+    for limit in (0, 2**40):
+        for product in (1, 2**60):
+            monkeypatch.setattr(compiler, "MAX_BROADCAST_BYTES", limit)
+            monkeypatch.setattr(compiler, "SPREAD_PRODUCT", product)
+            assert rows(run_query(query, catalog)) == want
+
+
+def test_retractions_weigh_against_all_rows_they_meet(spark):
+    from tidelog.sources.catalog import AttributeCatalog
+
+    catalog = AttributeCatalog().add_table("a", spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 2)], "k long, n long"), "k", {"n": "n"})
+    catalog.add_table("b", spark.createDataFrame([(1, 1, 7, 1), (2, 2, 7, -2), (3, 1, 8, 1), (4, 2, 8, -4)], "k long, n long, v long, w long"), "k", {"n": "n", "v": "v"})
+    assert rows(run_query("[:find ?v :where [?x :a/n ?n] [?y :b/n ?n] [?y :b/v ?v]]", catalog)) == [(7,)]
+
+
 FAST = sorted(set(QUERIES) - {"incremental_join", "incremental_agg", "as_of", "history_index", "stream_maintained_agg", "stream_delta_join"})  # these have tests of their own
 
 

@@ -94,6 +94,10 @@ class ZFrame:
         time = [(F.greatest(*times) if len(times) > 1 else times[0]).alias(T)] if times else []
         return ZFrame(both.select(*names, *time, (F.col(W) * F.col("_w")).alias(W)), self.unit and other.unit)
 
+    def support(self) -> ZFrame:
+        """Of a relation whose weights are all 1: each row once."""
+        return ZFrame(self.df.drop(W).distinct()) if self.columns else self.consolidate()
+
     def distinct_set(self) -> DataFrame:
         """The set of rows with positive weight, without weights."""
         return self.df.drop(W).distinct() if self.unit else self.positive().df.drop(W)

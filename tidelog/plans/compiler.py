@@ -4,7 +4,8 @@ Patterns become relations with one column for each variable; relations join on *
 they share, multiplying weights. Patterns over one entity whose attributes are single-valued columns of one
 table with a unique key become one scan (Catalyst would keep the self-joins). The order is
 greedy: constants first, then whatever shares a variable; what shares none is a cartesian product at the
-end. Filters are left where they are written: Catalyst pushes them into the scans.
+end. Where many rows meet many, each side is added up over the variables that are still needed before they meet, and
+pairs are made in as many tasks as the sides are large. Filters are left where they are written: Catalyst pushes them into the scans.
 """
 
 from __future__ import annotations
@@ -22,14 +23,25 @@ from ..sources.catalog import AttributeCatalog
 from .ast import Attr, Blank, Clause, Const, GetElse, Not, Or, Pattern, Predicate, Query, Term, Var
 from .parser import bound, parse_query
 
+#: A side of up to so many bytes, by the plan's estimate, goes whole to every task where many rows meet many.
+MAX_BROADCAST_BYTES = 2**25
+#: A task gets so many bytes of the other side, or so large a part of the product of both, whichever is more; so many tasks at most.
+SPREAD_BYTES, SPREAD_PRODUCT, MAX_SPREAD = 2**10, 2**28, 4096
+#: An estimate above this says nothing.
+UNKNOWN_BYTES = 2**50
+
 #: Relation of one pattern by its index in the query's patterns: columns e, v0 (or e, a, v, v_type) and w; None: from the catalog.
 Override = Callable[[int, Pattern], ZFrame | None]
 
 
 @dataclass
 class _Relation:
+    """``key``: variables in which no two rows agree, None if there are none. An attribute stored on its own counts as
+    single-valued unless it says otherwise; the key decides how a join is done, not what it gives."""
+
     frame: ZFrame
     constants: int
+    key: frozenset[str] | None = None
 
     @property
     def variables(self) -> set[str]:
@@ -43,8 +55,8 @@ def _literal(value: object) -> Column:
     return F.lit(value)
 
 
-def _bind(frame: ZFrame, places: list[tuple[str, Term]]) -> _Relation:
-    """Columns to variables: constants filter, a variable met again must be equal, ``_`` goes."""
+def _bind(frame: ZFrame, places: list[tuple[str, Term]], key: tuple[str, ...] = ("e",)) -> _Relation:
+    """Columns to variables: constants filter, a variable met again must be equal, ``_`` goes. ``key`` names unique columns."""
     first: dict[str, str] = {}
     constants = 0
     for column, term in places:
@@ -54,7 +66,9 @@ def _bind(frame: ZFrame, places: list[tuple[str, Term]]) -> _Relation:
             if term.name in first:
                 frame, constants = frame.where(F.col(first[term.name]) == F.col(column)), constants + 1
             first.setdefault(term.name, column)
-    return _Relation(frame.select(*[F.col(c).alias(v) for v, c in first.items()]), constants)
+    terms = [term for column, term in places if column in key]
+    unique = None if any(isinstance(t, Blank) for t in terms) else frozenset(t.name for t in terms if isinstance(t, Var))
+    return _Relation(frame.select(*[F.col(c).alias(v) for v, c in first.items()]), constants, unique)
 
 
 def _text_const(term: Term) -> Term:
@@ -72,7 +86,7 @@ def _wild(catalog: AttributeCatalog, pattern: Pattern, frame: ZFrame | None) ->
     frame = frame or catalog.wildcard(entity=pattern.entity.value if isinstance(pattern.entity, Const) else None, kind=kind)
     if kind:
         frame = frame.where(F.col("v_type") == kind)
-    return _bind(frame, [("e", pattern.entity), ("a", pattern.attribute), ("v", _text_const(pattern.value))])
+    return _bind(frame, [("e", pattern.entity), ("a", pattern.attribute), ("v", _text_const(pattern.value))], ("e", "a", "v"))
 
 
 def _relations(catalog: AttributeCatalog, patterns: list[Pattern], override: Override | None) -> list[_Relation]:
@@ -89,7 +103,7 @@ def _relations(catalog: AttributeCatalog, patterns: list[Pattern], override: Ove
             if a.table.unique and not a.many and not isinstance(p.entity, Blank):
                 stars.setdefault((p.entity, a.table.name), []).append(p)
             else:
-                out.append(_bind(catalog.star([a.name], *_fixed(catalog, p.entity, [p])), [("e", p.entity), ("v0", p.value)]))
+                out.append(_bind(catalog.star([a.name], *_fixed(catalog, p.entity, [p])), [("e", p.entity), ("v0", p.value)], ("e", "v0") if a.many else ("e",)))
     for (entity, _), group in stars.items():
         names = list(dict.fromkeys(p.attribute.name for p in group))
         places = [("e", entity)] + [(f"v{names.index(p.attribute.name)}", p.value) for p in group]
@@ -103,23 +117,67 @@ def _fixed(catalog: AttributeCatalog, entity: Term, patterns: list[Pattern]) ->
     return (entity.value if isinstance(entity, Const) else None), refers
 
 
-def _joined(relations: list[_Relation], needed: set[str] | None = None) -> ZFrame:
+def _bytes(frame: ZFrame) -> int:
+    """The optimizer's estimate, mostly from file sizes; immense where it knows nothing."""
+    return int(str(frame.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _reduced(relation: _Relation, keep: set[str], as_set: bool) -> _Relation:
+    """Without variables that are not in ``keep``; rows that have become equal are one, with the sum of their weights."""
+    if relation.key is not None and relation.key <= keep:
+        return relation
+    frame = relation.frame.select(*[F.col(f"`{c}`") for c in relation.frame.columns if c in keep])
+    return _Relation(frame.support() if as_set and frame.unit else frame.consolidate(), relation.constants, frozenset(frame.columns))
+
+
+def _spread(left: ZFrame, right: ZFrame, on: list[str]) -> tuple[ZFrame, ZFrame]:
+    """Both sides of a join in which rows meet many: if one is small it goes to all tasks and the other is cut finely.
+
+    The cut is by variables that stay in the result, so that an aggregate over these needs no shuffle of the pairs.
+    """
+    sizes = _bytes(left), _bytes(right)
+    if min(sizes) > MAX_BROADCAST_BYTES or max(sizes) > UNKNOWN_BYTES:
+        return left, right
+    parts = min(max(sizes) // SPREAD_BYTES, sizes[0] * sizes[1] // SPREAD_PRODUCT, MAX_SPREAD) + 1
+    cut = lambda z: ZFrame(z.df.repartition(parts, *[F.col(f"`{c}`") for c in z.columns if c not in on]), z.unit)
+    small = lambda z: ZFrame(F.broadcast(z.df), z.unit)
+    return (cut(left), small(right)) if sizes[0] >= sizes[1] else (small(left), cut(right))
+
+
+def _met(left: _Relation, right: _Relation, keep: set[str] | None, as_set: bool) -> _Relation:
+    """The join of two relations that share variables. ``keep``: what is needed after it (all if None)."""
+    on = left.variables & right.variables
+    many = lambda r: r.key is None or not r.key <= on
+    if many(left) and many(right) and keep is not None:
+        left, right = (_reduced(r, keep | on, as_set) for r in (left, right))
+    key = None if left.key is None or right.key is None else left.key | right.key
+    if not many(right):
+        key = left.key
+    elif not many(left):
+        key = right.key
+    a, b = left.frame, right.frame
+    if many(left) and many(right) and left.variables - on and right.variables - on:
+        a, b = _spread(a, b, sorted(on))
+    return _Relation(a.join(b, sorted(on)), left.constants, key)
+
+
+def _joined(relations: list[_Relation], needed: set[str] | None = None, as_set: bool = False) -> ZFrame:
     """Left-deep by shared variables; the most constants first.
 
     Parts that share no variable are multiplied. Before that each is added up over the variables that are ``needed``
-    later (all if None): one that binds none of them is a single row with its total weight.
+    later (all if None): one that binds none of them is a single row with its total weight. With ``as_set`` only the set
+    of rows counts, so rows that all have weight 1 need no sums.
     """
+    as_set = as_set and all(r.frame.unit for r in relations)
     rest = sorted(relations, key=lambda r: -r.constants)
     parts: list[ZFrame] = []
     while rest:
-        frame = (first := rest.pop(0)).frame
-        have = first.variables
-        while near := [r for r in rest if r.variables & have]:
-            nearest = max(near, key=lambda r: (r.constants, len(r.variables & have)))
+        part = rest.pop(0)
+        while near := [r for r in rest if r.variables & part.variables]:
+            nearest = max(near, key=lambda r: (r.constants, len(r.variables & part.variables)))
             rest.remove(nearest)
-            frame = frame.join(nearest.frame, sorted(nearest.variables & have))
-            have |= nearest.variables
-        parts.append(frame)
+            part = _met(part, nearest, None if needed is None else needed.union(*(r.variables for r in rest)), as_set)
+        parts.append(part.frame)
     if len(parts) > 1 and needed is not None:
         parts = [p.select(*[c for c in p.columns if c in needed]).consolidate() for p in parts]
     out = parts[0]
@@ -133,7 +191,7 @@ def _used(clause: Clause) -> set[str]:
     if isinstance(clause, Predicate):
         return {a.name for a in clause.args if isinstance(a, Var)}
     if isinstance(clause, GetElse):
-        return {clause.entity.name}
+        return {clause.entity.name, clause.out}
     if isinstance(clause, Not):
         return set().union(*(bound((c,)) if isinstance(c, Pattern | Or) else _used(c) for c in clause.clauses))
     return set()
@@ -155,19 +213,22 @@ def _conditions(frame: ZFrame, predicates: list[Predicate]) -> ZFrame:
     return frame
 
 
-def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Override | None = None, given: ZFrame | None = None, needed: set[str] | None = None) -> ZFrame:
-    """The weighted relation of all variables that ``clauses`` (and ``given``) bind, or of those in ``needed`` at least."""
+def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Override | None = None, given: ZFrame | None = None, needed: set[str] | None = None, as_set: bool = False) -> ZFrame:
+    """The weighted relation of all variables that ``clauses`` (and ``given``) bind, or of those in ``needed`` at least.
+
+    With ``as_set`` its weights only say which rows are there.
+    """
     relations = _relations(catalog, [c for c in clauses if isinstance(c, Pattern)], override)
     if given is not None:
-        relations.append(_Relation(given, 1))
+        relations.append(_Relation(given, 1, frozenset(given.columns)))
     for c in clauses:
         if isinstance(c, Or):
             shared = sorted(set.intersection(*(bound(b) for b in c.branches)))
-            parts = [body(catalog, b).select(*shared) for b in c.branches]
-            relations.append(_Relation(ZFrame(parts[0].union(*parts[1:]).distinct_set()), 0))
+            parts = [body(catalog, b, needed=set(shared), as_set=True).select(*shared) for b in c.branches]
+            relations.append(_Relation(ZFrame(parts[0].union(*parts[1:]).distinct_set()), 0, frozenset(shared)))
     if not relations:
         raise UnsupportedQueryError("where", clauses, "no pattern")
-    frame = _joined(relations, None if needed is None else needed.union(*(_used(c) for c in clauses)))
+    frame = _joined(relations, None if needed is None else needed.union(*(_used(c) for c in clauses)), as_set)
     for c in clauses:
         if isinstance(c, GetElse):
             values = catalog.star([c.attribute]).df.select(F.col("e").alias(c.entity.name), F.col("v0").alias(c.out))
@@ -175,7 +236,7 @@ def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Overr
     frame = _conditions(frame, [c for c in clauses if isinstance(c, Predicate)])
     for c in clauses:
         if isinstance(c, Not):
-            inner = ZFrame(body(catalog, c.clauses).distinct_set())
+            inner = ZFrame(body(catalog, c.clauses, needed=set(frame.columns), as_set=True).distinct_set())
             if not (shared := sorted(set(inner.columns) & set(frame.columns))):
                 raise UnboundVariableError("a not clause shares no variable with the rest")
             frame = ZFrame(frame.df.join(inner.df.select(*shared), shared, "left_anti"), frame.unit)
@@ -188,7 +249,7 @@ def compile_query(query: Query, catalog: AttributeCatalog, override: Override |
         raise UnboundVariableError("inputs for " + ", ".join(f"?{i.strip()}" for i in query.inputs))
     given = ZFrame(inputs.select(*[F.col(f"`{i.strip()}`").alias(i) for i in query.inputs]).distinct()) if query.inputs else None
     needed = dict.fromkeys([*query.plain, *(a.var for a in query.aggregates), *query.with_vars])
-    frame = body(catalog, query.where, override, given, set(needed))
+    frame = body(catalog, query.where, override, given, set(needed), not query.aggregates or bool(query.with_vars))
     return frame.select(*needed)
 
 
