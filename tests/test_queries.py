@@ -147,6 +147,18 @@ def test_parts_without_needed_variables_are_one_row(spark):
     assert "Aggregate [sum(w" in plan.split("Join Cross")[1]
 
 
+def test_counts_over_rows_that_meet_many(spark):
+    """Each side is added up before the join, so no pairs of customers and suppliers are made."""
+    plan = QUERIES["join_shared_value"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3 and "c_custkey" not in plan.split("Join Inner")[1].split("Aggregate")[0]
+    facts = [(e, "a/n", e % 3) for e in range(30)] + [(100 + e, "b/n", e % 5) for e in range(50)]
+    catalog = films.catalog(spark, facts, {"a/n": "long", "b/n": "long"})
+    assert rows(run_query("[:find ?n (count ?x) (count ?y) :where [?x :a/n ?n] [?y :b/n ?n]]", catalog)) == [(n, 100, 100) for n in range(3)]
+    assert rows(run_query("[:find ?n (sum ?x) (count ?y) :where [?x :a/n ?n] [?y :b/n ?n]]", catalog)) == [(n, 10 * sum(range(n, 30, 3)), 100) for n in range(3)]
+    assert rows(run_query("[:find (count ?x) (count-distinct ?n) :where [?x :a/n ?n] [?y :b/n ?n]]", catalog, extended=True)) == [(300, 3)]
+    assert rows(run_query("[:find (count ?x) :with ?y :where [?x :a/n ?n] [?y :b/n ?n] (not [?x :a/n 0])]", catalog, extended=True)) == [(200,)]
+
+
 def _suppliers(spark, path, n):
     from tidelog.sources.catalog import AttributeCatalog
 

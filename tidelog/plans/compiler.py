@@ -244,11 +244,13 @@ def body(catalog: AttributeCatalog, clauses: tuple[Clause, ...], override: Overr
 
 
 def compile_query(query: Query, catalog: AttributeCatalog, override: Override | None = None, inputs: DataFrame | None = None) -> ZFrame:
-    """The weighted relation that :find reads from: its variables (and :with), before aggregates or the set view."""
+    """The weighted relation that :find reads from: its variables (and :with), before aggregates or the set view; those that are only counted may be missing."""
     if query.inputs and (inputs is None or {i.strip() for i in query.inputs} - set(inputs.columns)):
         raise UnboundVariableError("inputs for " + ", ".join(f"?{i.strip()}" for i in query.inputs))
     given = ZFrame(inputs.select(*[F.col(f"`{i.strip()}`").alias(i) for i in query.inputs]).distinct()) if query.inputs else None
-    needed = dict.fromkeys([*query.plain, *(a.var for a in query.aggregates), *query.with_vars])
+    # A count is a sum of weights, which hold no value of its variable.
+    counted = {"count"} if not query.with_vars and not _needs_rows(query) else set()
+    needed = dict.fromkeys([*query.plain, *(a.var for a in query.aggregates if a.fn not in counted), *query.with_vars])
     frame = body(catalog, query.where, override, given, set(needed), not query.aggregates or bool(query.with_vars))
     return frame.select(*needed)
 
