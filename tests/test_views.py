@@ -57,6 +57,21 @@ def test_cartesian_and_self_join(spark, tmp_path):
     assert rows(product.result()) == [("one", "one")] and rows(pairs.result()) == [(7, 9), (9, 7)]
 
 
+def test_a_large_batch_is_added_up_in_many_tasks(spark, tmp_path):
+    from tidelog.streaming.view import ROWS_PER_TASK
+
+    n, parts = 1_500_000, 1_500_000 // ROWS_PER_TASK + 1
+    log = spark.range(n).coalesce(1).selectExpr("id % 2 + 1 as tx", "id div 2 as e", "'a' as a", "cast(id % 3 as string) as v", "1L as w")
+    wanted = [(0, n // 3), (1, n // 3), (2, n // 3)]
+    for name, run in (("r", lambda v: v.replay(log)), ("b", lambda v: v.apply_batch(log, 0)), ("t", lambda v: v.apply(log.drop("tx"), 1))):
+        view = View(spark, "[:find ?v (count ?e) :where [?e :a ?v]]", {"a": "long"}, str(tmp_path / name))
+        run(view)
+        assert len(list((tmp_path / name / "g0" / "log").glob("*/i=0/*.parquet"))) == parts
+        assert rows(view.result()) == wanted
+    with pytest.raises(UnknownTransactionError):
+        view.as_of(2)
+
+
 def test_refusals(spark, tmp_path):
     with pytest.raises(UnsupportedQueryError):
         View(spark, "[:find ?v :where [1 _ ?v]]", {})

@@ -31,6 +31,10 @@ from ..sources.datoms import SCHEMA, Datom, datoms
 from ..storage import delete, names, read_text, shared_dir, write_text
 
 
+#: A task of a batch adds up so many changes, on average.
+ROWS_PER_TASK = 2**18
+
+
 class UnknownTransactionError(LookupError):
     """An as-of time that is not the time of any transaction."""
 
@@ -161,19 +165,20 @@ class View:
             raise ValueError(f"transaction {tx} comes after {known[-1]}")
         if not isinstance(changes, DataFrame):
             changes = datoms(self.spark, [(tx, changes)])
-        return self._applied(changes.withColumn("tx", F.lit(tx).cast("long")), f"t{tx}", [tx], None)
+        return self._applied(changes.withColumn("tx", F.lit(tx).cast("long")), f"t{tx}", [tx], None, changes.count())
 
     def replay(self, changes: DataFrame, start: int | None = None, end: int | None = None) -> dict[str, object]:
         """Apply all transactions of a datom log (tx, e, a, v, w) from ``start`` up to ``end``, as one batch; applied ones are skipped."""
         known = self.history_index()
         wanted = changes if start is None else changes.where(F.col("tx") >= start)
         wanted = wanted if end is None else wanted.where(F.col("tx") < end)
-        times = sorted(set(r.tx for r in wanted.select("tx").distinct().collect()) - set(known))
+        sizes = {r.tx: r.n for r in wanted.groupBy("tx").agg(F.count("*").alias("n")).collect()}
+        times = sorted(set(sizes) - set(known))
         if not times:
             return {"tx": known[-1] if known else None, "skipped": True}
         if known and times[0] < known[-1]:
             raise ValueError(f"transaction {times[0]} comes after {known[-1]}")
-        return self._applied(wanted.where(F.col("tx") > known[-1]) if known else wanted, f"t{times[-1]}", times, None)
+        return self._applied(wanted.where(F.col("tx") > known[-1]) if known else wanted, f"t{times[-1]}", times, None, sum(sizes.values()))
 
     def apply_batch(self, changes: DataFrame, batch: int) -> dict[str, object]:
         """Apply a stream's micro-batch: rows with a ``tx`` keep it, the others are transaction ``batch + 1``.
@@ -185,16 +190,17 @@ class View:
         own = F.lit(batch + 1).cast("long")
         changes = changes.withColumn("tx", F.coalesce(F.col("tx").cast("long"), own) if "tx" in changes.columns else own).persist()
         try:
-            times = sorted(r.tx for r in changes.select("tx").distinct().collect())
-            return self._applied(changes, f"s{batch}", times or [batch + 1], batch)
+            sizes = {r.tx: r.n for r in changes.groupBy("tx").agg(F.count("*").alias("n")).collect()}
+            return self._applied(changes, f"s{batch}", sorted(sizes) or [batch + 1], batch, sum(sizes.values()))
         finally:
             changes.unpersist()
 
-    def _applied(self, changes: DataFrame, batch: str, times: list[int], stream: int | None) -> dict[str, object]:
+    def _applied(self, changes: DataFrame, batch: str, times: list[int], stream: int | None, size: int) -> dict[str, object]:
+        """``size``: the number of changes. Changes are mostly distinct, so they meet before they are added up, in as many tasks as there are many."""
         began, root = time.time(), self._root()
         done = self._done(root)
         # One pass writes the changes by attribute; what is left of a batch that did not end is overwritten.
-        rows = changes.where(F.col("a").isin(self.used) & F.col("v").isNotNull()).groupBy("a", "e", "v", "tx").agg(F.sum("w").alias(W)).where(f"{W} <> 0")
+        rows = changes.where(F.col("a").isin(self.used) & F.col("v").isNotNull()).repartition(size // ROWS_PER_TASK + 1, "e", "v").groupBy("a", "e", "v", "tx").agg(F.sum("w").alias(W)).where(f"{W} <> 0")
         position = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(self.used) for x in (n, i)]), F.col("a"))
         rows.select("e", "v", W, F.col("tx").alias(T), position.alias("i")).write.mode("overwrite").partitionBy("i").parquet(f"{root}/log/{batch}")
         there = names(self.spark, f"{root}/log/{batch}")
