@@ -72,6 +72,20 @@ def test_a_large_batch_is_added_up_in_many_tasks(spark, tmp_path):
         view.as_of(2)
 
 
+def test_stream_files_grow_in_number_and_batches_do_not(spark, monkeypatch):
+    from tidelog import queries as Q
+
+    monkeypatch.setattr(Q, "STREAM_FILE_BYTES", 2**10)
+    small = "/root/testdata/sf0.001"
+    for batches in (1, 2):
+        path, stream, view = Q._event_stream(spark, small, batches)
+        assert len(spark.read.parquet(f"{path}/in").inputFiles()) > batches
+        running = S.maintain(view, stream, f"{path}/checkpoint")
+        running.awaitTermination()
+        assert len({p["batchId"] for p in running.recentProgress if p["numInputRows"]}) == batches
+        assert rows(view.result()) == rows(Q.QUERIES["registry_served"](spark, small))
+
+
 def test_refusals(spark, tmp_path):
     with pytest.raises(UnsupportedQueryError):
         View(spark, "[:find ?v :where [1 _ ?v]]", {})

@@ -117,9 +117,9 @@ def _fixed(catalog: AttributeCatalog, entity: Term, patterns: list[Pattern]) ->
     return (entity.value if isinstance(entity, Const) else None), refers
 
 
-def _bytes(frame: ZFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate, mostly from file sizes; immense where it knows nothing."""
-    return int(str(frame.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _reduced(relation: _Relation, keep: set[str], as_set: bool) -> _Relation:
@@ -135,7 +135,7 @@ def _spread(left: ZFrame, right: ZFrame, on: list[str]) -> tuple[ZFrame, ZFrame]
 
     The cut is by variables that stay in the result, so that an aggregate over these needs no shuffle of the pairs.
     """
-    sizes = _bytes(left), _bytes(right)
+    sizes = estimated_bytes(left.df), estimated_bytes(right.df)
     if min(sizes) > MAX_BROADCAST_BYTES or max(sizes) > UNKNOWN_BYTES:
         return left, right
     parts = min(max(sizes) // SPREAD_BYTES, sizes[0] * sizes[1] // SPREAD_PRODUCT, MAX_SPREAD) + 1

@@ -12,7 +12,7 @@ from .functions.predicates import register_predicate
 from .operators import joins, pull, utility
 from .operators.hypergraph import Hypergraph
 from .operators.zframe import W, ZFrame
-from .plans.compiler import run_query
+from .plans.compiler import estimated_bytes, run_query
 from .sources import datoms as D
 from .sources import readers
 from .sources.catalog import ID_SPACE, AttributeCatalog, idents, supplied_catalog
@@ -479,29 +479,36 @@ def key_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, registry, imports and errors
 
 
-def _event_stream(spark: SparkSession, sf_dir: str, batches: int) -> tuple[str, View]:
-    """Events as a folder of datom files, event e in transaction e % 4 + 1, and a view of their types."""
+#: Bytes of events, by the estimate of their scan, in a file of their stream.
+STREAM_FILE_BYTES = 2**22
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, batches: int) -> tuple[str, DataFrame, View]:
+    """Events as a folder of datom files, event e in transaction e % 4 + 1, the stream that reads it in ``batches``, and a view of their types."""
     path = shared_dir(spark, "stream")
     delete_at_exit(spark, path)
     events = _table(spark, sf_dir, "events").selectExpr("*", "event_id % 4 + 1 as tx")
-    D.unpivot(events, "event_id", {"event_type": "event/type"}, "tx").repartition(batches).write.parquet(f"{path}/in")
-    return path, View(spark, "[:find ?t (count ?e) :where [?e :event/type ?t]]", {"event/type": "string"}, f"{path}/view")
+    rows = D.unpivot(events, "event_id", {"event_type": "event/type"}, "tx")
+    files = estimated_bytes(events.select("event_id", "event_type")) // STREAM_FILE_BYTES + 1
+    rows.repartition(batches * files, "e").write.parquet(f"{path}/in")
+    stream = S.read_datoms(spark, f"{path}/in", files_per_batch=files if batches > 1 else None)
+    return path, stream, View(spark, "[:find ?t (count ?e) :where [?e :event/type ?t]]", {"event/type": "string"}, f"{path}/view")
 
 
 @_query("stream_as_of", "SELECT event_type AS t, count(*)::BIGINT AS count_e FROM events WHERE event_id % 4 + 1 <= 2 GROUP BY event_type")
 def stream_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions that are spread over micro-batches, read as of the second one."""
-    path, view = _event_stream(spark, sf_dir, 2)
-    S.maintain(view, S.read_datoms(spark, f"{path}/in", files_per_batch=1), f"{path}/checkpoint").awaitTermination()
+    path, stream, view = _event_stream(spark, sf_dir, 2)
+    S.maintain(view, stream, f"{path}/checkpoint").awaitTermination()
     return view.as_of(2)
 
 
 @_query("registry_served", "SELECT event_type AS t, count(*)::BIGINT AS count_e FROM events GROUP BY event_type")
 def registry_served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A named view that a stream keeps up to date, read by SQL after the stream was stopped."""
-    path, view = _event_stream(spark, sf_dir, 1)
+    path, stream, view = _event_stream(spark, sf_dir, 1)
     registry, name = S.Registry(spark), "served_" + path.rsplit("-", 1)[-1]
-    registry.sync(name, view, S.read_datoms(spark, f"{path}/in"), f"{path}/checkpoint")
+    registry.sync(name, view, stream, f"{path}/checkpoint")
     registry.running[name].awaitTermination()
     registry.stop(name)
     registry.serve(name)
@@ -511,9 +518,9 @@ def registry_served(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("registry_status", "SELECT 'types' AS name, count(DISTINCT event_id % 4)::BIGINT AS transactions, count(*)::BIGINT AS input_rows, false AS active FROM events")
 def registry_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the registry says of a stream that has ended."""
-    path, view = _event_stream(spark, sf_dir, 1)
+    path, stream, view = _event_stream(spark, sf_dir, 1)
     registry = S.Registry(spark)
-    registry.sync("types", view, S.read_datoms(spark, f"{path}/in"), f"{path}/checkpoint")
+    registry.sync("types", view, stream, f"{path}/checkpoint")
     registry.running["types"].awaitTermination()
     status = registry.status()["types"]
     return spark.createDataFrame([("types", int(status["transactions"]), int(status["progress"]["numInputRows"]), status["active"])], "name string, transactions long, input_rows long, active boolean")
@@ -522,9 +529,9 @@ def registry_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("stream_progress", "SELECT count(*)::BIGINT AS n FROM events")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that progress reports count, batch by batch."""
-    path, view = _event_stream(spark, sf_dir, 2)
+    path, stream, view = _event_stream(spark, sf_dir, 2)
     seen: dict[int, int] = {}
-    running = S.maintain(view, S.read_datoms(spark, f"{path}/in", files_per_batch=1), f"{path}/checkpoint")
+    running = S.maintain(view, stream, f"{path}/checkpoint")
     running.awaitTermination()
     for report in running.recentProgress:
         seen[report["batchId"]] = report["numInputRows"]
